@@ -8,11 +8,12 @@ from .repetition import op4_repetition
 from .token_count import op7_token_counts
 from .token_files import op1_token_files
 from .toxicity import op5_toxicity
+from .warc import OP2_SQL, op2_warc
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_files, op3_decontamination, op4_repetition, op5_toxicity, op7_token_counts, op8_bpe_codec)}
+    return {f.__name__: f for f in (op1_token_files, op2_warc, op3_decontamination, op4_repetition, op5_toxicity, op7_token_counts, op8_bpe_codec)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_warc": OP2_SQL}
