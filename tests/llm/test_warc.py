@@ -1,5 +1,6 @@
 import io
 import random
+import re
 
 import duckdb
 import pytest
@@ -58,6 +59,6 @@ def test_damage_is_found():
     import gzip
 
     plain = gzip.decompress(record_bytes(1, "u", b"hello", None, False, "d"))
-    for bad in (plain.replace(b"hello", b"jello"), plain.replace(b"hello", b"hell"), plain[:-2], plain.replace(b"WARC/1.1", b"HTTP/1.1", 1), plain.replace(b"\r\nContent-Length: 9", b"\r\nX: 9")):
+    for bad in (plain.replace(b"hello", b"jello"), plain.replace(b"hello", b"hell"), plain[:-2], plain.replace(b"WARC/1.1", b"HTTP/1.1", 1), re.sub(rb"Content-Length: \d+\r\n\r\nHTTP", b"X: 1\r\n\r\nHTTP", plain)):
         with pytest.raises(WarcError):
             list(read_records(io.BytesIO(gzip.compress(bad))))
