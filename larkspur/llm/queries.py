@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe_codec import op8_bpe_codec
 from .decontaminate import op3_decontamination
+from .jaccard_join import op6_jaccard_join
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .repetition import op4_repetition
 from .token_count import op7_token_counts
@@ -13,7 +14,7 @@ from .warc import OP2_SQL, op2_warc
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_files, op2_warc, op3_decontamination, op4_repetition, op5_toxicity, op7_token_counts, op8_bpe_codec, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_token_files, op2_warc, op3_decontamination, op4_repetition, op5_toxicity, op6_jaccard_join, op7_token_counts, op8_bpe_codec, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
