@@ -14,7 +14,9 @@ from .warc import OP2_SQL, op2_warc
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_files, op2_warc, op3_decontamination, op4_repetition, op5_toxicity, op6_jaccard_join, op7_token_counts, op8_bpe_codec, op10_line_dedup)}
+    import corpus_pipeline
+
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_token_files, op2_warc, op3_decontamination, op4_repetition, op5_toxicity, op6_jaccard_join, op7_token_counts, op8_bpe_codec, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
