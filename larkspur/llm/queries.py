@@ -7,6 +7,7 @@ from .decontaminate import op3_decontamination
 from .jaccard_join import op6_jaccard_join
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .repetition import op4_repetition
+from .suffix_dedup import op9_suffix_dedup
 from .token_count import op7_token_counts
 from .token_files import op1_token_files
 from .toxicity import op5_toxicity
@@ -16,7 +17,7 @@ from .warc import OP2_SQL, op2_warc
 def queries() -> dict:
     import corpus_pipeline
 
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_token_files, op2_warc, op3_decontamination, op4_repetition, op5_toxicity, op6_jaccard_join, op7_token_counts, op8_bpe_codec, op10_line_dedup)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_token_files, op2_warc, op3_decontamination, op4_repetition, op5_toxicity, op6_jaccard_join, op7_token_counts, op8_bpe_codec, op9_suffix_dedup, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
