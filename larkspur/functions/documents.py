@@ -53,8 +53,8 @@ def menu_signals(text: Column, food: tuple[str, ...] = FOOD_WORDS, sections: tup
     }
 
 
-def menu_score(prices: Column, food: Column, sections: Column, gifts: Column, lines: Column, short_lines: Column) -> Column:
-    """From 0 to 1, three digits: prices, food words, sections and short lines; texts without prices on
+def menu_score(prices: Column, food: Column, sections: Column, gifts: Column, lines: Column, short_lines: Column, digits: int = 3) -> Column:
+    """From 0 to 1, rounded: prices, food words, sections and short lines; texts without prices on
     the other signals if that is more; voucher pages at most 0.25."""
     one = F.lit(1.0)
     p, f, s = F.least(prices / 8.0, one), F.least(food / 25.0, one), F.least(sections / 3.0, one)
@@ -62,7 +62,7 @@ def menu_score(prices: Column, food: Column, sections: Column, gifts: Column, li
     score = p * 0.40 + f * 0.25 + s * 0.20 + t * 0.15
     score = F.when(prices == 0, F.greatest(score, f * 0.40 + s * 0.30 + t * 0.30)).otherwise(score)
     score = F.when((gifts >= 3) & (food < 10), F.least(score, F.lit(0.25))).otherwise(score)
-    return F.round(F.least(score, one), 3)
+    return F.round(F.least(score, one), digits)
 
 
 def detached_prices(text: Column, longest: int = 2) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,8 +21,6 @@ def canonical(text: str | None) -> str:
 
 def canonical_text(c: Column) -> Column:
     """``canonical`` as a column: an ASCII fast path in the JVM, and Arrow batches for the rest."""
-    import pandas as pd
-
     @F.pandas_udf(T.StringType())
     def folded(s: pd.Series) -> pd.Series:
         return s.map(canonical)
@@ -45,8 +44,6 @@ def compatible_groups(rows: DataFrame, owner: str = "restaurant_id", id_col: str
     order, whose first row they are compatible with (compatibility is not transitive).  The survivor is
     the row with the largest (latest classification, description length, -id).  Groups meet only rows of
     one (owner, name, price), which bounds each Arrow group."""
-    import pandas as pd
-
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(id_col)
         seeds: list[tuple[tuple, list[int]]] = []
@@ -86,8 +83,6 @@ def repoint(rows: DataFrame, fk: str, mapping: DataFrame, id_col: str = "id") ->
 def upsert_dishes(base: DataFrame, delta: DataFrame, owner: str = "restaurant_id") -> DataFrame:
     """(delta id, action, target id) for each captured dish, in id order: an exact identity of the base,
     else the first compatible one, else an insert."""
-    import pandas as pd
-
     def match(key, old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
         known = [(int(i), ("", "", d, c)) for i, d, c in zip(*(old.sort_values("id")[x] for x in ("id", "k_desc", "k_cal")), strict=True)]
         out = []
