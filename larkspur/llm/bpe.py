@@ -14,6 +14,10 @@ from functools import lru_cache
 
 _SPACE_AFTER_SPACE = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S)(?= )")
+#: Runs that need no library: Latin-1 letters (composed, with plain lower cases) and common marks.
+_LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", ".,;:!?|%$#&*()"
+_PLAIN = re.compile(rf" ?[{_LETTERS}]+| ?[{_MARKS}]+|\n")
+_PLAIN_WORDS = re.compile(rf"[{_LETTERS}]+|[{_MARKS}]+|[ \n]+")
 
 
 def vocabulary_path(name: str) -> str:
@@ -73,8 +77,21 @@ class Vocabulary:
         """The bytes of a text as byte letters."""
         return text.encode("utf-8").decode("latin-1").translate(self._letters)
 
+    def plain(self, unit: str) -> list[str] | None:
+        """The pre-tokens of a unit of letters, common marks and single inner newlines, by one match; None
+        for any other unit.  For a vocabulary that normalises, in their normal form."""
+        if self._normalise is not None:
+            found = _PLAIN_WORDS.findall(unit)
+            return [f.lower() for f in found if f[0] not in " \n"] if sum(map(len, found)) == len(unit) else None
+        found = _PLAIN.findall(unit)
+        return found if sum(map(len, found)) == len(unit) and unit[-1:] != "\n" and "\n\n" not in unit else None
+
     def pieces(self, unit: str):
         """(added token, None) or (None, pre-token in byte letters), in text order."""
+        if (found := self.plain(unit)) is not None:
+            for part in found:
+                yield None, self.letters(part)
+            return
         parts = self._added.split(unit) if self._added and "<" in unit else (unit,)
         for part in parts:
             if not part:
@@ -82,10 +99,6 @@ class Vocabulary:
             if part in self.added:
                 yield part, None
                 continue
-            bare = part[1:] if part[0] == " " else part
-            if self._normalise is None and bare.isalpha():  # one run of letters, with its space
-                yield None, self.letters(part)
-                continue
             if self._normalise is not None:
                 part = self._normalise(part)
             for letters, _ in self.library.pre_tokenizer.pre_tokenize_str(part):

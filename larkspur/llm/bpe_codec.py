@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 from hashlib import sha256
+from itertools import pairwise
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,23 +26,23 @@ def merged_symbols(symbols: list[str], ranks: dict[tuple[str, str], int]) -> lis
     none = len(ranks)
     size = 1 << (n - 1).bit_length()
     get = ranks.get
-    tree = [none] * (2 * size)
-    for i in range(n - 1):
-        tree[size + i] = get((symbols[i], symbols[i + 1]), none)
+    tree = [none] * size + [get(pair, none) for pair in pairwise(symbols)]
+    tree += [none] * (2 * size - len(tree))
     for node in range(size - 1, 0, -1):
         a, b = tree[2 * node], tree[2 * node + 1]
         tree[node] = a if a <= b else b
 
-    def put(i: int, rank: int) -> None:
-        node = size + i
+    def put(node: int, rank: int) -> None:
+        if tree[node] == rank:
+            return
         tree[node] = rank
         while node > 1:
+            other = tree[node ^ 1]
             node >>= 1
-            a, b = tree[2 * node], tree[2 * node + 1]
-            least = a if a <= b else b
+            least = rank if rank <= other else other
             if tree[node] == least:
                 return
-            tree[node] = least
+            tree[node] = rank = least
 
     right, left = list(range(1, n + 1)), list(range(-1, n - 1))
     while (least := tree[1]) != none:
@@ -55,14 +56,14 @@ def merged_symbols(symbols: list[str], ranks: dict[tuple[str, str], int]) -> lis
         symbols[i] = a = symbols[i] + symbols[j]
         symbols[j] = None
         right[i] = k = right[j]
-        put(j, none)
         if k < n:
+            put(size + j, none)
             left[k] = i
-            put(i, get((a, symbols[k]), none))
+            put(node, get((a, symbols[k]), none))
         else:
-            put(i, none)
+            put(node, none)
         if (p := left[i]) >= 0:
-            put(p, get((symbols[p], a), none))
+            put(size + p, get((symbols[p], a), none))
     return [s for s in symbols if s is not None]
 
 
@@ -73,24 +74,34 @@ class Codec:
         if not vocab.drops_space:
             raise ValueError("this codec splits texts at spaces, which the vocabulary must drop")
         self.vocab = vocab
-        self.units = Memo(self._unit)
+        self.units = Memo(self._unit, 400_000)
+        self.plain = Memo(lambda part: self._entry(self._merged(vocab.letters(part))), 400_000)
+
+    def _merged(self, letters: str) -> list[int]:
+        vocab = self.vocab
+        return [vocab.ids[s] for s in merged_symbols(vocab.symbols(letters), vocab.ranks)]
 
     def _ids(self, unit: str) -> list[int]:
-        ids, vocab = [], self.vocab
-        for token, letters in vocab.pieces(unit):
-            if token:
-                ids.append(vocab.added[token])
-            else:
-                ids += [vocab.ids[s] for s in merged_symbols(vocab.symbols(letters), vocab.ranks)]
+        ids = []
+        for token, letters in self.vocab.pieces(unit):
+            ids += [self.vocab.added[token]] if token else self._merged(letters)
         return ids
 
-    def _unit(self, unit: str) -> tuple[int, str, str]:
-        ids = self._ids(unit)
+    def _entry(self, ids: list[int]) -> tuple[int, str, str]:
         return len(ids), " ".join(map(str, ids)), self.decode(ids)
 
+    def _unit(self, unit: str) -> tuple[int, str, str]:
+        parts = self.vocab.plain(unit)
+        if parts is None:
+            return self._entry(self._ids(unit))
+        if len(parts) == 1:
+            return self.plain[parts[0]]
+        found = [self.plain[p] for p in parts]
+        return sum(x[0] for x in found), " ".join([x[1] for x in found]), " ".join([x[2] for x in found])
+
     def encode(self, text: str | None) -> list[int]:
         """The identifiers of a text; none for null and for empty texts."""
-        return [i for unit in (text or "").split(" ") if unit for i in self._ids(unit)]
+        return [int(i) for unit in (text or "").split(" ") if unit for i in self.units[unit][1].split()]
 
     def decode(self, ids: list[int]) -> str:
         """Token strings joined by spaces, as the library decodes where a vocabulary names no decoder;
