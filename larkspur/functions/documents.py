@@ -42,7 +42,7 @@ def present(low: Column, words: tuple[str, ...]) -> Column:
 def menu_signals(text: Column, food: tuple[str, ...] = FOOD_WORDS, sections: tuple[str, ...] = SECTION_WORDS) -> dict[str, Column]:
     """The counts that the score is made of."""
     low = F.lower(text)
-    lines = F.filter(F.transform(F.split(text, r"\r\n|[\n\r]"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text, r"\r\n|[\n\r]"), lambda x: F.trim(x)), lambda x: x != "")
     return {
         "prices": (F.regexp_count(text, F.lit(PRICE)) + F.regexp_count(text, F.lit(TRAILING_PRICE))).cast("int"),
         "food": substring_hits(low, food),

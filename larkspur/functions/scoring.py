@@ -58,14 +58,14 @@ def reputation(rating: Column, count: Column) -> Column:
 
 def tier(profile: str, verdict: Column, vegetarian_status: Column | None = None, meats: Column | None = None) -> Column:
     """0 suits, 1 likely, 2 adaptable, 3 unknown, 4 no, for a diet profile."""
+    if profile not in ("vegan", "vegetarian", "pescatarian"):
+        raise ValueError(f"no profile {profile}")
     vegan = F.when(verdict == "vegan", 0).when(verdict == "likely_vegan", 1).when(verdict == "vegan_adaptable", 2).when(verdict == "not_vegan", 4).otherwise(3)
     if profile == "vegan":
         return vegan
     vegetarian = F.when(vegetarian_status == "vegetarian", 0).when(vegetarian_status == "not_vegetarian", 4).when(vegan <= 1, vegan).when(vegan == 2, 1).otherwise(3)
     if profile == "vegetarian":
         return vegetarian
-    if profile != "pescatarian":
-        raise ValueError(f"no profile {profile}")
     some = F.coalesce(meats, F.array().cast("array<string>"))
     return F.when(F.exists(some, lambda m: ~m.isin("fish", "shellfish")), 4).when(F.size(some) > 0, 0).when(vegetarian == 4, 3).otherwise(vegetarian)
 

@@ -26,7 +26,7 @@ def _words(c: Column) -> Column:
 def address_parts(address: Column) -> Column:
     """struct(number, street, city): number and words of the first part, words of the last part before
     the state and zip."""
-    parts = F.filter(F.transform(F.split(address, ","), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(address, ","), lambda p: F.trim(p)), lambda p: p != "")
     street = _words(F.get(parts, F.lit(0)))
     state = F.filter(F.transform(parts, lambda p, i: F.when(p.rlike(r"^[A-Z]{2}\s*\d{5}(-\d{4})?$") & (i > 0), i)), lambda i: i.isNotNull())
     end = F.coalesce(F.get(state, F.lit(0)), F.size(parts))
