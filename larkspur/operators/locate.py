@@ -72,3 +72,67 @@ def filter_urls(urls: DataFrame, record: str, url: str = "url", address: str = "
     own = urls.withColumns({"__anchor": strong_match(F.col(url), place), "__plausible": plausible_match(F.col(url), place), "__specific": location_specific(F.col(url))})
     anchored = F.max("__anchor").over(Window.partitionBy(record))
     return own.withColumn("__any", anchored).where(~(F.col("__any") & F.col("__specific") & ~F.col("__plausible"))).drop("__anchor", "__plausible", "__specific", "__any")
+
+
+def _differing(a: Column, b: Column) -> tuple[Column, Column]:
+    """The one span of either token array outside their common head and tail."""
+    least = F.least(F.size(a), F.size(b))
+    steps = F.sequence(F.lit(1), F.greatest(least, F.lit(1)))
+    off = F.filter(steps, lambda i: ~F.coalesce(F.get(a, i - 1) == F.get(b, i - 1), F.lit(False)))
+    head = F.when(least == 0, 0).otherwise(F.coalesce(F.get(off, F.lit(0)) - 1, least))
+    ra, rb = F.reverse(a), F.reverse(b)
+    back = F.filter(steps, lambda i: ~F.coalesce(F.get(ra, i - 1) == F.get(rb, i - 1), F.lit(False)))
+    tail = F.least(F.when(least == 0, 0).otherwise(F.coalesce(F.get(back, F.lit(0)) - 1, least)), least - head)
+    return F.slice(a, head + 1, F.size(a) - head - tail), F.slice(b, head + 1, F.size(b) - head - tail)
+
+
+def _is_place(span: Column, place: Column) -> Column:
+    """Whether a span is exactly the record's city, street or number."""
+    same = lambda x: (F.size(x) > 0) & (F.size(F.array_except(x, span)) == 0) & (F.size(F.array_except(span, x)) == 0)
+    fused = F.array_join(place["city"], "")
+    return same(place["city"]) | same(place["street"]) | ((F.size(F.array_distinct(span)) == 1) & (((fused != "") & (F.get(span, F.lit(0)) == fused)) | F.coalesce(F.get(span, F.lit(0)) == place["number"], F.lit(False))))
+
+
+# --- fixed values: words that tell a site's menu pages apart, not its places --------------------------------
+SECTION_WORDS = (
+    "menu", "menus", "food", "dinner", "lunch", "brunch", "breakfast", "dessert", "desserts", "drink", "drinks", "cocktail", "cocktails", "wine", "wines", "beer", "beers", "bar", "kids", "catering",
+    "happy", "hour", "specials", "special", "daily", "weekend", "seasonal", "holiday", "evening", "late", "night", "takeout", "delivery",
+)
+# --------------------------------------------------------------------------------------------------------------
+
+
+def sibling_drops(urls: DataFrame, record: str, url: str = "url", address: str = "address") -> DataFrame:
+    """(record, url) of pages that differ from one of the record's own pages, on the same host, in one
+    span of up to four tokens, where the own page's span is the record's place and the other's is neither
+    that nor a menu section.  Pages meet by record and host."""
+    tokens = url_tokens(F.col(url))
+    host = F.lower(F.regexp_extract(F.col(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
+    rows = urls.select(F.col(record).alias("r"), F.col(url).alias("u"), host.alias("h"), tokens.alias("t"), address_parts(F.col(address)).alias("place")).distinct()
+    a, b = rows.alias("a"), rows.alias("b")
+    span_a, span_b = _differing(F.col("a.t"), F.col("b.t"))
+    both = a.join(b, F.expr("a.r = b.r AND a.h = b.h AND a.u <> b.u")).select("b.r", "b.u", "a.place", span_a.alias("x"), span_b.alias("y"))
+    short = F.size("x").between(1, 4) & F.size("y").between(1, 4)
+    hit = short & _is_place(F.col("x"), F.col("place")) & ~_is_place(F.col("y"), F.col("place")) & ~F.exists("y", lambda t: t.isin(*SECTION_WORDS))
+    return both.where(hit).select(F.col("r").alias(record), F.col("u").alias(url)).distinct()
+
+
+def filter_pages(pages: DataFrame, record: str = "restaurant_id", url: str = "url", text: str = "text", address: str = "address") -> DataFrame:
+    """Pages without sibling menus of other places: among a record's pages whose last path segment is a
+    place word before "menu", the most specific level (words before the city, then the city) that some
+    page names twice or more decides, and pages with under half of the most namings go."""
+    base = F.substring_index(F.col(url), "#", 1)
+    path = F.regexp_replace(F.regexp_extract(base, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1), r"/+$", "")
+    slug = F.lower(F.element_at(F.split(path, "/"), -1))
+    prefix = F.regexp_replace(F.regexp_replace(slug, r"menus?$", ""), r"^[-_]+|[-_]+$", "")
+    sibling = slug.rlike(r".menus?$") & (prefix != "") & ~prefix.isin(*SECTION_WORDS)
+    place = address_parts(F.col(address))
+    own = F.array_distinct(F.filter(F.concat(place["street"], F.filter(F.array(place["number"]), lambda x: x.isNotNull())), lambda t: F.length(t) > 2))
+    count = lambda words: F.coalesce(F.aggregate(words, F.lit(0), lambda n, w: n + F.size(F.split(F.concat(F.lit(" "), F.regexp_replace(F.lower(F.col(text)), r"[^a-z0-9']+", "  "), F.lit(" ")), F.concat(F.lit(" "), w, F.lit(" ")))) - 1), F.lit(0))
+    city = F.array_join(place["city"], " ")
+    squeezed = F.regexp_replace(F.lower(F.col(text)), r"[^a-z0-9]+", " ")
+    in_city = F.when(city != "", F.size(F.split(squeezed, city)) - 1).otherwise(0)
+    named = pages.withColumns({"__base": base, "__parent": F.when(sibling, F.regexp_replace(path, r"/[^/]*$", "")), "__own": count(own), "__city": in_city})
+    per = named.where("__parent IS NOT NULL").groupBy(record, "__parent", "__base").agg(F.max("__own").alias("a"), F.max("__city").alias("b"))
+    best = per.groupBy(record, "__parent").agg(F.max("a").alias("ma"), F.max("b").alias("mb"), F.count("*").alias("n")).where("n > 1")
+    gone = per.join(best, [record, "__parent"]).where("CASE WHEN ma >= 2 THEN a * 2 < ma WHEN mb >= 2 THEN b * 2 < mb ELSE false END").select(record, "__base").distinct()
+    return named.join(gone, [record, "__base"], "left_anti").drop("__base", "__parent", "__own", "__city")
