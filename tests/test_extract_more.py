@@ -26,3 +26,19 @@ def test_text_repairs(spark):
     df = spark.createDataFrame([("T o f u  b o w l s", "a &amp; b\\/c", "thesitename", "http://www.site.name/", '<link rel="canonical" href="https://d.squarespace.com/x">', "http://www.d.com/m", "<a href='/m.pdf'><a href='/m.pdf'>(https://x/y.pdf?z=1)")], "a string, b string, c string, d string, e string, f string, g string")
     r = df.select(letters_joined(F.col("a")), unescaped(F.col("b")), site_match(F.col("c"), F.col("d")), canonical_root(F.col("e"), F.col("f")), canonical_root(F.col("e"), F.lit("https://d.squarespace.com/")), pdf_links(F.col("g"))).first()
     assert tuple(r) == ("Tofu bowls", "a & b/c", 8, "https://d.squarespace.com", None, ["/m.pdf", "https://x/y.pdf?z=1"])
+
+
+def test_products(spark):
+    import json
+
+    from larkspur.functions.venues import cuisine, preferred_category, venue_kind
+    from larkspur.operators.extract import client_products, embedded_items, product_rows
+
+    state = json.dumps({"menu": {"categories": [{"name": "Mains", "items": [{"id": "prod1", "name": "Tofu"}, {"name": "Soup", "price": {"value": 4}}, {"name": "Button"}], "subCategories": [{"name": "Hot", "products": [{"displayName": "Curry", "description": " very  hot "}, {"id": "prod1", "name": "Tofu"}]}]}]}})
+    want = [("Mains", "Tofu", "", ""), ("Mains", "Soup", "", "4"), ("Mains > Hot", "Curry", "very hot", "")]
+    assert client_products(state) == want and client_products("{") == []
+    assert [tuple(r) for r in product_rows(spark.createDataFrame([(state,), (None,)], "s string"), "s").collect()] == want
+    assert embedded_items('x={"itemName":"A \\u00e9","d":1,"price":"9.50"}; y="{\\"itemName\\":\\"B\\",\\"price\\":7}"') == [("A é", "9.50"), ("B", "7")]
+    df = spark.createDataFrame([("latin_american_restaurant", 1, 0, 0), ("steak_house", 0, 2, 1), ("bakery", 2, 2, 0), (None, 0, 0, 1), ("hotel", 0, 0, 0)], "t string, f int, d int, k int")
+    got = df.select(cuisine(F.col("t")), venue_kind(F.col("t")), preferred_category(F.col("t"), F.col("f"), F.col("d"), F.col("k"))).collect()
+    assert [tuple(r) for r in got] == [("Mexican & Latin", "restaurant", "food"), ("American & Burgers", "restaurant", "dessert"), ("Sweets & Treats", "dessert", "dessert"), ("Other", "restaurant", "drink"), ("Other", "restaurant", "food")]
