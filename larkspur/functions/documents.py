@@ -39,9 +39,10 @@ def present(low: Column, words: tuple[str, ...]) -> Column:
     return total
 
 
-def menu_signals(text: Column, food: tuple[str, ...] = FOOD_WORDS, sections: tuple[str, ...] = SECTION_WORDS) -> dict[str, Column]:
-    """The counts that the score is made of."""
-    low = F.lower(text)
+def menu_signals(text: Column, food: tuple[str, ...] = FOOD_WORDS, sections: tuple[str, ...] = SECTION_WORDS, low: Column | None = None) -> dict[str, Column]:
+    """The counts that the score is made of.  ``low``: a column of the lower-case text, which each word
+    list is looked up in; without it every look-up lowers the text."""
+    low = F.lower(text) if low is None else low
     lines = F.filter(F.transform(F.split(text, r"\r\n|[\n\r]"), lambda x: F.trim(x)), lambda x: x != "")
     return {
         "prices": (F.regexp_count(text, F.lit(PRICE)) + F.regexp_count(text, F.lit(TRAILING_PRICE))).cast("int"),

@@ -171,8 +171,8 @@ f AS (SELECT doc_id, least(prices / 8.0::DOUBLE, 1.0) AS p, least(food / 25.0::D
 SELECT doc_id, CAST(round(least(CASE WHEN prices = 0 THEN greatest(p * 0.4 + f * 0.25 + s * 0.2 + t * 0.15, f * 0.4 + s * 0.3 + t * 0.3) ELSE p * 0.4 + f * 0.25 + s * 0.2 + t * 0.15 END, 1.0), 6) AS DOUBLE) AS score FROM f""")
 def q_menu_score(spark: Spark, sf: str) -> Frame:
     """How menu-like a text is, here with other words and six digits."""
-    x = menu_signals(F.col("text"), _FOOD, _SECTIONS)
-    docs = table(spark, sf, "documents").select("doc_id", F.regexp_count("text", F.lit(r"(?:\$\s?\d{1,3}(?:\.\d{2})?)|(?:\b\d{1,3}\.\d{2}\b)")).cast("int").alias("prices"), *[x[k].alias(k) for k in ("food", "sections", "lines", "short_lines")])
+    x = menu_signals(F.col("text"), _FOOD, _SECTIONS, low=F.col("low"))
+    docs = table(spark, sf, "documents").withColumn("low", F.lower("text")).select("doc_id", F.regexp_count("text", F.lit(r"(?:\$\s?\d{1,3}(?:\.\d{2})?)|(?:\b\d{1,3}\.\d{2}\b)")).cast("int").alias("prices"), *[x[k].alias(k) for k in ("food", "sections", "lines", "short_lines")])
     return docs.select("doc_id", menu_score(F.col("prices"), F.col("food"), F.col("sections"), F.lit(0), F.col("lines"), F.col("short_lines"), digits=6).alias("score"))
 
 
