@@ -39,6 +39,13 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/larkspur/{what}-{uuid.uuid4().hex}"
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """A column name that a table does not have yet."""
+    while name in columns:
+        name += "_"
+    return name
+
+
 def materialise(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there, and the
     files outlive any executor."""
@@ -110,6 +117,11 @@ class Memo(dict):
         self.add(key, value)
         return value
 
+    def known(self, key):
+        """The remembered value, or None."""
+        value = self.get(key)
+        return self.old.get(key) if value is None else value
+
     def add(self, key, value) -> None:
         if len(self) >= self.cap:
             self.old = dict(self)

@@ -9,49 +9,85 @@ counts of the parts before it, kept with the part's name in the manifest.
 from __future__ import annotations
 
 import json
+import sys
+from array import array
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import is_loose, library_tokenizer, loose_units, units, vocabulary_path
+from .bpe import is_loose, library_tokenizer, loose_units, units, vocabulary, vocabulary_path
 from .common import Files, Memo, new_path, table
 
 
 class Encoder:
-    """The library's identifiers of whole texts as little-endian bytes; pieces that recur are
-    remembered, and those that are new in a batch go to the library together."""
+    """The library's identifiers of whole texts as little-endian bytes.  Units and pre-tokens that recur
+    are remembered; those that are new go to the library."""
 
     def __init__(self, path: str):
-        self.library = library_tokenizer(path)
+        self.library, self.vocab = library_tokenizer(path), vocabulary(path)
         size = 1 + max(self.library.get_vocab(with_added_tokens=True).values())
         self.dtype = "<u2" if size <= 1 << 16 else "<u4"
-        self.memo = Memo(lambda unit: self._bytes([unit])[0], cap=400_000)
-
-    def _bytes(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        return [np.asarray(e.ids, self.dtype).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        #: Of units after one space, without it; and of pre-tokens.
+        self.units, self.pre_tokens = Memo(None, 250_000), Memo(None, 450_000)
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        out = array("H" if self.dtype == "<u2" else "I", ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
+
+    def _new(self, lacking: set[str]) -> dict[str, bytes]:
+        """The identifiers of units: of plain ones by the library's model, pre-token by pre-token; of all
+        others as whole texts."""
+        plain, letters, model = self.vocab.plain, self.vocab.letters, self.library.model
+        pre_tokens, out, whole = self.pre_tokens, {}, []
+        for unit in lacking:
+            parts = plain(unit)
+            if parts is None:
+                whole.append(unit)
+                continue
+            found = []
+            for p in parts:
+                if (ids := pre_tokens.known(p)) is None:
+                    ids = self._bytes([t.id for t in model.tokenize(letters(p))])
+                    pre_tokens.add(p, ids)
+                found.append(ids)
+            out[unit] = found[0] if len(found) == 1 else b"".join(found)
+        for unit, e in zip(whole, self.library.encode_batch_fast(whole, add_special_tokens=False), strict=True):
+            out[unit] = self._bytes(e.ids)
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        memo, split = self.memo, []
-        for text in texts:
-            if not text:
-                split.append(())
-            elif is_loose(text):
-                split.append(loose_units(text))
-            else:
-                first, rest = units(text)
-                split.append([first, *map(" ".__add__, rest)])
         out = []
-        for at in range(0, len(split), 64):  # few documents at once: what they lack stays small
-            some = split[at : at + 64]
-            lacking = list(dict.fromkeys(u for doc in some for u in doc if u not in memo and u not in memo.old))
-            new = dict(zip(lacking, self._bytes(lacking), strict=True))
-            for doc in some:
-                out.append(b"".join([new[u] if u in new else memo[u] for u in doc]))
-            for unit, ids in new.items():
-                memo.add(unit, ids)
+        for at in range(0, len(texts), 64):  # few documents at once: what they lack stays small
+            rows, lacking = [], set()
+            get, old = self.units.get, self.units.old.get
+            for text in texts[at : at + 64]:
+                if not text:
+                    rows.append(([], [], []))
+                elif is_loose(text):
+                    found = loose_units(text)
+                    lacking.update(found)
+                    rows.append(([None] * len(found), range(len(found)), found))
+                else:
+                    first, rest = units(text)
+                    parts = [None, *map(get, rest)]
+                    gaps = [i for i, p in enumerate(parts) if p is None]
+                    named = [first, *(" " + rest[i - 1] for i in gaps[1:])]
+                    for i in gaps[1:]:
+                        parts[i] = old(rest[i - 1])
+                    lacking.update(u for i, u in zip(gaps, named, strict=True) if parts[i] is None)
+                    rows.append((parts, gaps, named))
+            new = self._new(lacking - {""})
+            new[""] = b""
+            for parts, gaps, named in rows:
+                for i, unit in zip(gaps, named, strict=True):
+                    if parts[i] is None:
+                        parts[i] = new[unit]
+                    if unit[:1] == " ":
+                        self.units.add(unit[1:], parts[i])
+                out.append(b"".join(parts))
         return out
 
 
