@@ -74,8 +74,8 @@ class Codec:
         if not vocab.drops_space:
             raise ValueError("this codec splits texts at spaces, which the vocabulary must drop")
         self.vocab = vocab
-        self.units = Memo(self._unit, 400_000)
-        self.plain = Memo(lambda part: self._entry(self._merged(vocab.letters(part))), 400_000)
+        self.units = Memo(self._unit, 150_000)
+        self.plain = Memo(lambda part: self._entry(self._merged(vocab.letters(part))), 200_000)
 
     def _merged(self, letters: str) -> list[int]:
         vocab = self.vocab

@@ -23,7 +23,7 @@ from .decontaminate import words
 #: Lengths in bytes of the word beginnings that are features besides whole words.
 BEGINNINGS = (4, 5, 6)
 #: The classifier is fitted on at most so many labelled rows, the first by a hash of the id.
-SAMPLE_ROWS = 12_000
+SAMPLE_ROWS = 8_000
 MAX_VOTERS, MAX_FEATURES = 300, 6_000
 CLEAN_VOTERS = 5
 
@@ -130,7 +130,7 @@ class Model:
         at = names.index(text_col)
 
         def run(batches):
-            memo = Memo(lambda word: tuple(f for f in word_features(word) if f in weights), 400_000)
+            memo = Memo(lambda word: tuple(f for f in word_features(word) if f in weights), 150_000)
             for batch in batches:
                 scores = []
                 for text in batch.column(at).to_pylist():
@@ -153,8 +153,9 @@ def fit_rows(features: list, labels) -> Model:
         share = (toxic + 0.5) / (n + 1)
         return Model({}, float(np.log(share / (1 - share))))
     sizes = np.asarray([len(f) for f in features])
-    row_of = np.repeat(np.arange(n), sizes)
-    found, columns = np.unique(np.concatenate(features) if sizes.sum() else np.zeros(0, np.int64), return_inverse=True)
+    row_of = np.repeat(np.arange(n, dtype=np.int32), sizes)
+    found, columns = np.unique(np.concatenate(features) if sizes.sum() else np.zeros(0, np.uint32), return_inverse=True)
+    columns = columns.astype(np.int32)
     count = np.bincount(columns, minlength=len(found))
     bad = np.bincount(columns, labels[row_of], minlength=len(found))
     base = toxic / n
@@ -194,6 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     larger label; an id with several texts counts with each.  Without rows of both classes every text
     gets the share of the one class as its score.
     """
+    import numpy as np
     import pyarrow as pa
 
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("id")))
@@ -202,14 +204,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def features(batches):
         for batch in batches:
-            out = [sorted({f for w in text_words(t) for f in word_features(w)}) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64()))], ["id", "y", "features"])
+            out = [np.unique(np.asarray([f for w in text_words(t) for f in word_features(w)], np.uint32)).view(np.int32) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int32()))], ["id", "y", "features"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    got = rows.mapInArrow(features, f"id {kind}, y int, features array<long>").toArrow().sort_by("id")
+    got = rows.mapInArrow(features, f"id {kind}, y int, features array<int>").toArrow().sort_by("id")
     lists = got.column("features").combine_chunks()
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    bounds, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+    bounds, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint32)
     return fit_rows([flat[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)], got.column("y").to_numpy())
 
 
