@@ -7,11 +7,13 @@
    which shingles are frequent is counted over all texts, and only speed depends on that list.
 3. Every candidate pair passes the bitmap test: with one bit per hashed shingle, the bits that only one set
    has are shingles that the other lacks, which bounds the overlap from above.
-4. What is left is intersected exactly.  A first round joins each set with few partners; a pair whose sets
-   are connected by then needs no test, so a large group of near copies costs no quadratic work.
+4. What is left is intersected exactly.  A first round tests each set against its most central partner
+   (whose prefix is made of frequent shingles: a text that others are edited from); a pair whose sets are
+   connected by then needs no test, so a large group of near copies costs no quadratic work.
 
-Tiles with more than ``TILE`` sets emit no pairs in the first round but a star around their smallest id;
-after it only sets of different components in such a tile still meet.
+Tiles with more than ``TILE`` sets emit no pairs in the first round but a star around their most central
+set.  After it only sets of different components in such a tile still meet: in blocks of at most ``BLOCK``
+sets a side, by the bitmap test alone, of which only the pairs that pass come out.
 """
 
 from __future__ import annotations
@@ -21,10 +23,10 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, materialise, table
+from .common import Memo, free_name, materialise, table
 from .components import components
 
-TILE = 64
+TILE, BLOCK = 16, 2048
 #: Frequent shingles that the order knows of; the rest count as rare.  Bounds what is broadcast.
 FREQUENT = 200_000
 
@@ -54,10 +56,10 @@ def shingles(text: str | None, k: int):
 
 
 def bitmap(hashes):
-    """Bits by hash, a power of two of them, at least twice the set's size and 64."""
+    """Bits by hash, a power of two of them, at least four times the set's size and 64."""
     import numpy as np
 
-    width = max(64, 1 << (2 * max(1, len(hashes)) - 1).bit_length())
+    width = max(64, 1 << (4 * max(1, len(hashes)) - 1).bit_length())
     bits = np.zeros(width, np.uint8)
     bits[(hashes & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little")
@@ -208,6 +210,68 @@ def _linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
     return pairs.select("a", "b").join(sides[0], "a").join(sides[1], "b").select("a", "b", "ta", "tb").mapInArrow(intersect, "a binary, b binary")
 
 
+def _central_pairs(pairs: DataFrame, central: DataFrame) -> DataFrame:
+    """Of pairs (a, b) that of each set with its most central partner."""
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    best = both.join(central, F.col("b") == F.col("node")).groupBy("a").agg(F.max(F.struct("c", "b")).alias("m"))
+    return best.select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b")).distinct()
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose ends are not connected yet."""
+    ends = pairs.alias("p").join(roots.alias("x"), F.expr("x.node = p.a"), "left").join(roots.alias("y"), F.expr("y.node = p.b"), "left")
+    return ends.where("coalesce(x.root, p.a) <> coalesce(y.root, p.b)").select("p.a", "p.b")
+
+
+def _across(large: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of sets of one large tile and different components that pass the bitmap test."""
+    import numpy as np
+    import pyarrow as pa
+
+    placed = large.alias("l").join(roots.alias("r"), F.expr("r.node = l.node"), "left").select("token", "l.node", "n", F.coalesce("r.root", "l.node").alias("root"))
+    mixed = placed.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("m")).where("x <> y").select("token", F.ceil(F.col("m") / BLOCK).cast("int").alias("k"))
+    # a block is a hash class of a tile's sets; each pair of blocks is a group
+    own = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
+    rows = placed.join(mixed, "token").join(sets.select("node", "bits"), "node").withColumn("own", own)
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    rows = rows.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "root", "bits")
+
+    def meet(group: pa.Table) -> pa.Table:
+        group = group.sort_by("n")
+        node, root, bits, own = (group.column(c).to_pylist() for c in ("node", "root", "bits", "own"))
+        n = group.column("n").to_numpy()
+        two = group.column("i")[0].as_py() != group.column("j")[0].as_py()
+        root, own = np.unique(np.asarray(root, object), return_inverse=True)[1], np.asarray(own)
+        if root.min() == root.max():
+            return pa.table({"a": pa.array([], pa.binary()), "b": pa.array([], pa.binary())})
+        width = np.asarray([len(b) for b in bits])
+        part = {int(w): (np.flatnonzero(width == w), np.stack([np.frombuffer(b, np.uint64) for b in bits if len(b) == w])) for w in np.unique(width)}
+        low = np.searchsorted(100 * n, percent * n, "left")
+        a, b = [], []
+        for y in range(len(node)):
+            mine = _folded(np.frombuffer(bits[y], np.uint8), len(bits[y]))
+            for w, (at, rest) in part.items():
+                if w > len(mine):
+                    continue
+                s, e = np.searchsorted(at, (low[y], y))
+                xs = at[s:e]
+                far = root[xs] != root[y]
+                if two:
+                    far &= own[xs] != own[y]
+                if not far.any():
+                    continue
+                xs, some, own_bits = xs[far], rest[s:e][far], _folded(mine, w).view(np.uint64)
+                gone = np.bitwise_count(some & ~own_bits).sum(1)
+                lack = np.bitwise_count(own_bits & ~some).sum(1)
+                bound = np.minimum(n[xs] - gone, n[y] - lack)
+                for x in xs[(100 + percent) * bound >= percent * (n[xs] + n[y])]:
+                    a.append(min(node[x], node[y]))
+                    b.append(max(node[x], node[y]))
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    return rows.groupBy("token", "i", "j").applyInArrow(meet, "a binary, b binary").distinct()
+
+
 def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row of ``docs``: the size of its set of distinct
     ``words``-word shingles, and the smallest id that it reaches by links, where two rows link if
@@ -226,9 +290,11 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
     sets = materialise(sets, "sets")
 
     tiles = materialise(_tiles(sets, percent), "tiles")
+    central = sets.select("node", (F.size("many") / (F.size("many") + F.size("few"))).alias("c"))
     large = tiles.where("token IS NOT NULL").select("token", F.col("a").alias("node"), "n").unionByName(sets.select(F.explode("many").alias("token"), "node", "n"))
-    centres = large.groupBy("token").agg(F.min(F.struct("node", "n")).alias("c"))
-    stars = large.join(centres, "token").where(f"node <> c.node AND 100 * least(n, c.n) >= {percent} * greatest(n, c.n)").select(F.col("c.node").alias("a"), F.col("node").alias("b"))
+    large = materialise(large.join(central, "node"), "large-tiles")
+    centres = large.groupBy("token").agg(F.max(F.struct("c", "node", "n")).alias("m"))
+    stars = large.join(centres, "token").where(f"node <> m.node AND 100 * least(n, m.n) >= {percent} * greatest(n, m.n)").select(F.least("m.node", "node").alias("a"), F.greatest("m.node", "node").alias("b"))
     pairs = tiles.where("token IS NULL").select("a", "b").unionByName(stars).distinct()
     close = materialise(_bounded(pairs, sets, percent), "close")
 
@@ -237,22 +303,17 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
     ids = sets.join(ids, "node").select("node", F.col("doc_id").alias("d"), F.col("t").alias("h"))
     texts = materialise(rows.join(ids, F.expr("doc_id <=> d AND t = h")).select("node", "text").dropDuplicates(["node"]), "near-texts")
 
-    # first round: each set with its smallest partner on either side
-    first = close.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").unionByName(close.groupBy("a").agg(F.min("b").alias("b")).select("a", "b")).distinct()
-    links = materialise(_linked(first, texts, words, percent), "links")
+    # rounds: each set with its most central partner that it is not connected with, then whatever is left
+    tested = _central_pairs(close, central)
+    links = materialise(_linked(tested, texts, words, percent), "links")
     roots = materialise(components(links), "roots")
-
-    # second round: whatever pair is still apart
-    root = lambda c: F.coalesce(F.col(f"r{c}.root"), F.col(c))
-    apart = close.alias("p").join(roots.alias("ra"), F.expr("ra.node = p.a"), "left").join(roots.alias("rb"), F.expr("rb.node = p.b"), "left")
-    apart = apart.where(root("a") != root("b")).select("p.a", "p.b").join(first, ["a", "b"], "left_anti")
-    placed = large.alias("l").join(roots.alias("r"), F.expr("r.node = l.node"), "left").select("token", "l.node", "n", F.coalesce("r.root", "l.node").alias("root"))
-    mixed = placed.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
-    placed = materialise(placed.join(mixed, "token"), "open-tiles")
-    across = placed.alias("x").join(placed.alias("y"), F.expr(f"x.token = y.token AND x.root <> y.root AND x.node < y.node AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"))
-    across = across.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    left = apart.unionByName(_bounded(across, sets, percent)).distinct()
-    final = components(links.unionByName(_linked(left, texts, words, percent)))
+    across = _across(large, roots, sets, percent)
+    left = materialise(_apart(close, roots).join(tested, ["a", "b"], "left_anti").unionByName(across).distinct(), "apart")
+    second = _central_pairs(left, central)
+    links = links.unionByName(materialise(_linked(second, texts, words, percent), "links"))
+    roots = materialise(components(links), "roots")
+    third = _apart(left.join(second, ["a", "b"], "left_anti"), roots)
+    final = components(links.unionByName(_linked(third, texts, words, percent)))
 
     placed = every.select("doc_id", "n", "node").alias("e").join(final.alias("f"), F.expr("f.node = e.node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("f.root", "e.node").alias("root"))
     smallest = placed.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
@@ -262,8 +323,9 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
 def drop_near_copies(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the same columns and the rows of one id of each component, the smallest.  Rows with
     empty texts or null ids stay.  An id with several texts goes if one of its rows is not the smallest."""
-    gone = jaccard_components(docs, words, percent, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == F.col("__gone"), "left_anti")
+    own = free_name(docs.columns, "__gone")
+    gone = jaccard_components(docs, words, percent, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col(own), "left_anti")
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

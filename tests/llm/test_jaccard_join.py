@@ -48,11 +48,12 @@ def cases(seed, n=160):
     return docs
 
 
-@pytest.mark.parametrize(("seed", "tile", "k", "percent"), [(1, 64, 4, 85), (2, 3, 4, 85), (3, 4, 5, 80)])
+@pytest.mark.parametrize(("seed", "tile", "k", "percent"), [(1, 64, 4, 85), (2, 3, 4, 85), (3, 2, 5, 80)])
 def test_equals_brute_force(spark, monkeypatch, seed, tile, k, percent):
     docs = cases(seed, 160 if tile > 3 else 120)
     assert any(c[0] != c[2] for c in brute(docs, k, percent))
-    monkeypatch.setattr(jj, "TILE", tile)  # also in the tasks: they get it with the closure
+    monkeypatch.setattr(jj, "TILE", tile)  # the tasks get it with the closure
+    monkeypatch.setattr(jj, "BLOCK", 2048 if tile > 3 else 5)
     frame = spark.createDataFrame([(t, d, 3) for d, t in docs], "text string, doc_id long, n int").repartition(3)
     got = jj.jaccard_components(frame, words=k, percent=percent)
     assert sorted(map(tuple, got.collect())) == brute(docs, k, percent)
