@@ -4,9 +4,10 @@ next one's input.  All stages but the last return the columns of documents."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from larkspur.llm.bpe_codec import encoded_digests
-from larkspur.llm.common import materialise, table
+from larkspur.llm.common import free_name, materialise, table
 from larkspur.llm.decontaminate import decontaminate
 from larkspur.llm.jaccard_join import drop_near_copies
 from larkspur.llm.line_dedup import dedup_lines
@@ -16,7 +17,8 @@ from larkspur.llm.toxicity import fit
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.5 or more go."""
     model = fit(docs, table(spark, sf_dir, "labels"))
-    return model.score(docs, out="__toxicity").where("__toxicity < 0.5").drop("__toxicity")
+    score = free_name(docs.columns, "__toxicity")
+    return model.score(docs, out=score).where(F.col(score) < 0.5).drop(score)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,14 +18,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import free_name, materialise, table
 
 _WHITE = r"[ \t\r\f\x0B]+"
+#: White space that squeezing changes: most lines have none, and finding that out costs less.
+_LOOSE = r"[\t\r\f\x0B]|  "
 
 
 def normal_line(line: Column) -> Column:
     """The form in which lines are compared; empty for lines without a word."""
-    return F.trim(F.regexp_replace(F.lower(line), _WHITE, " "))
+    low = F.lower(line)
+    return F.trim(F.when(low.rlike(_LOOSE), F.regexp_replace(low, _WHITE, " ")).otherwise(low))
+
+
+def has_word(line: Column) -> Column:
+    return line.rlike(r"[^ \t\r\f\x0B]")
 
 
 def word_count(norm: Column) -> Column:
@@ -44,8 +51,8 @@ def _words(norm: Column, k: Column) -> Column:
 
 def _lines(rows: DataFrame) -> DataFrame:
     """(d, t, p) tells a line: document id, hash of its text, place; ties of ids go by the hash."""
-    lines = rows.select("d", "t", F.posexplode(F.split("text", "\n")).alias("p", "line"))
-    return lines.select(F.struct("d", "t", "p").alias("at"), normal_line(F.col("line")).alias("norm")).where("norm <> ''").withColumn("n", word_count(F.col("norm")))
+    lines = rows.select("d", "t", F.posexplode(F.split("text", "\n")).alias("p", "line")).where(has_word(F.col("line")))
+    return lines.select(F.struct("d", "t", "p").alias("at"), normal_line(F.col("line")).alias("norm")).withColumn("n", word_count(F.col("norm")))
 
 
 def line_verdicts(docs: DataFrame, min_words: int = 8, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -120,18 +127,19 @@ def dedup_lines(docs: DataFrame, min_words: int = 8, id_col: str = "doc_id", tex
     ``length_col``: a column that is to hold the characters of the new text.
     """
     names = docs.columns
-    if len(set(names)) < len(names) or any(c.startswith("__") for c in names):
-        raise ValueError(f"columns with equal or reserved names: {names}")
+    if len(set(names)) < len(names):
+        raise ValueError(f"columns with equal names: {names}")
+    own_d, own_t, own_h, own_kept = (free_name(names, c) for c in ("__d", "__t", "__h", "__kept"))
     first, near = line_verdicts(docs, min_words, id_col, text_col)
     kept = first.join(near.select("at"), "at", "left_anti")
-    kept = kept.groupBy(F.col("at.d").alias("__d"), F.col("at.t").alias("__t")).agg(F.array_sort(F.collect_list("at.p")).alias("__kept"))
+    kept = kept.groupBy(F.col("at.d").alias(own_d), F.col("at.t").alias(own_t)).agg(F.array_sort(F.collect_list("at.p")).alias(own_kept))
     text, d = F.col(f"`{text_col}`"), F.col(f"`{id_col}`")
-    joined = docs.withColumn("__h", F.xxhash64(text)).join(kept, F.col("__d").eqNullSafe(d) & (F.col("__t") == F.col("__h")), "left")
+    joined = docs.withColumn(own_h, F.xxhash64(text)).join(kept, F.col(own_d).eqNullSafe(d) & (F.col(own_t) == F.col(own_h)), "left")
     lines = F.transform(F.split(text, "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i")))
-    marks = F.coalesce("__kept", F.array().cast("array<int>"))
+    marks = F.coalesce(own_kept, F.array().cast("array<int>"))
     # the kept places are as many as lines at most: a map makes each look-up short in long texts
     own = F.map_from_arrays(marks, marks)
-    left = F.filter(lines, lambda s: (normal_line(s.x) == "") | F.map_contains_key(own, s.i))
+    left = F.filter(lines, lambda s: F.map_contains_key(own, s.i) | ~has_word(s.x))
     new = F.array_join(F.transform(left, lambda s: s.x), "\n")
     columns = {text_col: F.when(text.isNotNull(), new)}
     if length_col:
