@@ -12,11 +12,11 @@ need no order between positions, so ranks of short lengths are made where a text
    repeated throughout; one whose anchor stands in no other text is unique throughout.  What is left open
    are first units that share an anchor with different ones: the ends of repeated passages.
 2. The strings of open units alone are sorted by their rank pairs, and all but the first of equals are
-   repeated.
+   repeated.  Units go there as they are, by their anchor, and are cut into strings where they arrive.
 
 Repeated strings within a batch are settled there (the first one alone goes on), and anchors that are
-frequent in a batch are spread over salted groups that are open by definition, so no group that is sorted
-grows with the copies of one text.
+frequent in a batch are spread over salted groups that are open by definition, whose strings go to the
+second step one by one, by their own rank; so no group that is sorted grows with the copies of one text.
 """
 
 from __future__ import annotations
@@ -28,10 +28,10 @@ from .common import materialise, table
 
 #: Strings are worked on in blocks of so many positions; a place in a block takes PLACE_BITS bits.
 BLOCK, PLACE_BITS = 1 << 20, 22
-ANCHOR, HALF = 32, 64
+ANCHOR, HALF = 24, 64
 #: An anchor with so many different units in one batch counts as frequent there.
-FREQUENT, SALTS = 16, 64
-LOSER, OPEN = 0, 1
+FREQUENT, SALTS = 64, 64
+LOSER, OPEN, HOT = 0, 1, 2
 _NORMAL, _SALTED, _MARK, _SETTLED = 0, 1, 2, 3
 
 
@@ -56,10 +56,10 @@ class Block:
         names = _mix(np.arange(1, 257, dtype=np.uint64) << np.uint64(40), np.arange(256, dtype=np.uint64))[data]
         offset, anchors = 1, None
         while offset < HALF:
-            names = _mix(names[:-offset], names[offset:])
+            shorter, names = names, _mix(names[:-offset], names[offset:])
             offset *= 2
-            if offset == ANCHOR:
-                anchors = names
+            if offset == 16:  # 24 bytes: 16, and 8 from the 16th on
+                anchors = _mix(names[: len(names) - 8], shorter[16:])
         self.names, self.last = names, length - HALF
         valid = np.zeros(n - length + 1, bool)
         for start, size in pieces:
@@ -86,11 +86,13 @@ class Block:
         """The rank pair of the strings at the given places."""
         return self.names[at], self.names[at + self.last]
 
-    def unit_pair(self):
+    def unit_rank(self):
+        """One name for the rank pairs of a unit's first and last string and its size; units are equal
+        where this and the anchor's name are."""
         import numpy as np
 
         end = self.start + self.size - 1
-        return _mix(*self.pair(self.start)), _mix(*self.pair(end)) + self.size.astype(np.uint64)
+        return _mix(_mix(*self.pair(self.start)), _mix(*self.pair(end)) + self.size.astype(np.uint64))
 
 
 def _blocks(rows, length: int):
@@ -117,29 +119,39 @@ def _blocks(rows, length: int):
         yield close()
 
 
-def _settle(g, k1, k2, d, p, n):
-    """Of rows with equal rank pairs in one batch only the first goes on; the rest are settled, under
-    keys that spread them."""
+def _settle(g, k, d, p):
+    """Of rows with equal (g, k) in one batch only the first goes on; the rest are settled, under keys
+    that spread them.  The rows keep their order, which compresses better than any other."""
     import numpy as np
 
-    order = np.lexsort((p, d, k2, k1))
-    g, k1, k2, d, p, n = (x[order] for x in (g, k1, k2, d, p, n))
+    order = np.lexsort((p, d, k, g))
     new = np.ones(len(g), bool)
-    new[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
-    kind = np.where(new, _NORMAL, _SETTLED).astype(np.int8)
-    g = np.where(new, g, _mix(p.astype(np.uint64), d.view(np.uint64)))
-    return g, k1, k2, d, p, n, kind
+    new[1:] = (g[order][1:] != g[order][:-1]) | (k[order][1:] != k[order][:-1])
+    first = np.empty(len(g), bool)
+    first[order] = new
+    return np.where(first, g, _mix(p.astype(np.uint64), d.view(np.uint64))), np.where(first, _NORMAL, _SETTLED)
 
 
-def _batch(g, k1, k2, d, p, n, kind):
+def _pack(p, n, kind):
+    """Place, number of strings and kind in one long."""
+    return (p << 9) | (n << 2) | kind
+
+
+def _batch(g, k, d, x, unit=None):
     import numpy as np
     import pyarrow as pa
 
-    columns = [pa.array(x.view(np.int64)) for x in (g, k1, k2)] + [pa.array(d), pa.array(p), pa.array(n.astype(np.int32)), pa.array(kind)]
-    return pa.RecordBatch.from_arrays(columns, ["g", "k1", "k2", "d", "p", "n", "kind"])
+    columns = [pa.array(g.view(np.int64)), pa.array(k.view(np.int64)), pa.array(d), pa.array(x)]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(unit, pa.binary())] if unit is not None else columns, ["g", "k", "d", "x", "unit"][: 5 if unit is not None else 4])
+
+
+_ROWS = "g long, k long, d long, x long"
+
 
+def _texts(batch, column: int):
+    from zstandard import ZstdDecompressor
 
-_ROWS = "g long, k1 long, k2 long, d long, p long, n int, kind byte"
+    return map(ZstdDecompressor().decompress, batch.column(column).to_pylist())
 
 
 def _units(docs: DataFrame, length: int) -> DataFrame:
@@ -149,101 +161,193 @@ def _units(docs: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             ids, bases = (batch.column(i).to_numpy() for i in (0, 1))
             parts = []
-            for k, at, starts, block in _blocks(batch.column(2).to_pylist(), length):
+            for r, at, starts, block in _blocks(batch.column(2).to_pylist(), length):
                 piece = np.searchsorted(starts, block.start, "right") - 1
-                parts.append((block.anchor, *block.unit_pair(), ids[k[piece]], bases[k[piece]] + at[piece] + block.start - starts[piece], block.size))
+                parts.append((block.anchor, block.unit_rank(), ids[r[piece]], bases[r[piece]] + at[piece] + block.start - starts[piece], block.size))
             if not parts:
                 continue
-            g, k1, k2, d, p, n, kind = _settle(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            g, k, d, p, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+            spread, kind = _settle(g, k, d, p)
             found, where, count = np.unique(np.where(kind == _NORMAL, g, 0), return_inverse=True, return_counts=True)
             often = (count >= FREQUENT) & (found != 0)
             salted = often[where] & (kind == _NORMAL)
-            kind[salted] = _SALTED
-            g = np.where(salted, _mix(g, k1 % np.uint64(SALTS)), g)
-            yield _batch(g, k1, k2, d, p, n, kind)
+            kind = np.where(salted, _SALTED, kind)
+            yield _batch(np.where(salted, _mix(g, k % np.uint64(SALTS)), spread), k, d, _pack(p, n, kind))
             if often.any():
                 zero = np.zeros(int(often.sum()), np.int64)
-                yield _batch(found[often], zero.view(np.uint64), zero.view(np.uint64), zero, zero - 1, zero, np.full(len(zero), _MARK, np.int8))
+                yield _batch(found[often], zero.view(np.uint64), zero, zero + _MARK)
 
     return docs.mapInArrow(scan, _ROWS)
 
 
-def _strings(docs: DataFrame, length: int) -> DataFrame:
-    """The strings of the open units: ``docs`` with the offsets of these units as a last column."""
+def _open(docs: DataFrame, length: int) -> DataFrame:
+    """The open units of ``docs`` (d, base, packed text, places, places of frequent anchors): a row each
+    with its bytes, by its anchor; those of frequent anchors as a row for each string, by its name."""
     import numpy as np
 
     def scan(batches):
         for batch in batches:
-            ids, bases, wanted = (batch.column(i) for i in (0, 1, 3))
-            ids, bases, wanted = ids.to_numpy(), bases.to_numpy(), wanted.to_pylist()
-            parts = []
-            for k, at, starts, block in _blocks(batch.column(2).to_pylist(), length):
+            ids, bases = (batch.column(i).to_numpy() for i in (0, 1))
+            wanted, hot = (batch.column(i).to_pylist() for i in (3, 4))
+            texts = list(_texts(batch, 2))
+            strings = []
+            for r, at, starts, block in _blocks(texts, length):
                 piece = np.searchsorted(starts, block.start, "right") - 1
-                p = bases[k[piece]] + at[piece] + block.start - starts[piece]
-                bounds = np.flatnonzero(np.concatenate([[True], piece[1:] != piece[:-1], [True]]))
-                take = np.concatenate([np.isin(p[a:b], wanted[k[piece[a]]]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]) if len(p) else np.zeros(0, bool)
-                start, size = block.start[take], block.size[take]
-                if len(start):
+                p = bases[r[piece]] + at[piece] + block.start - starts[piece]
+                bounds = np.flatnonzero(np.concatenate([[True], piece[1:] != piece[:-1], [True]])) if len(p) else np.zeros(1, np.int64)
+                runs = list(zip(bounds[:-1], bounds[1:], strict=True))
+                take = np.concatenate([np.isin(p[a:b], wanted[r[piece[a]]]) for a, b in runs]) if runs else np.zeros(0, bool)
+                if take.any():
+                    rows, places, sizes = r[piece[take]], p[take], block.size[take]
+                    units = [texts[i][q - bases[i] : q - bases[i] + n + length - 1] for i, q, n in zip(rows, places, sizes, strict=True)]
+                    yield _batch(block.anchor[take], np.zeros(len(rows), np.int64), ids[rows], _pack(places, sizes, _NORMAL), units)
+                take = np.concatenate([np.isin(p[a:b], hot[r[piece[a]]]) for a, b in runs]) if runs else np.zeros(0, bool)
+                if take.any():
+                    start, size = block.start[take], block.size[take]
                     inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                    w = np.repeat(start, size) + inside
-                    k1, k2 = block.pair(w)
-                    parts.append((_mix(k1, k2), k1, k2, np.repeat(ids[k[piece[take]]], size), np.repeat(p[take], size) + inside, np.ones(len(w), np.int64)))
-            if parts:
-                yield _batch(*_settle(*(np.concatenate(x) for x in zip(*parts, strict=True))))
+                    g, k = block.pair(np.repeat(start, size) + inside)
+                    strings.append((g, k, np.repeat(ids[r[piece[take]]], size), np.repeat(p[take], size) + inside))
+            if strings:
+                g, k, d, p = (np.concatenate(x) for x in zip(*strings, strict=True))
+                spread, kind = _settle(g, k, d, p)
+                yield _batch(spread, k, d, _pack(p, 1, kind), [None] * len(g))
+
+    return docs.mapInArrow(scan, f"{_ROWS}, unit binary")
 
-    return docs.mapInArrow(scan, _ROWS)
+
+def _sorted_groups(rows: DataFrame, decide, schema: str) -> DataFrame:
+    """``decide`` over runs of whole groups, from rows sorted by group, rank and place."""
+    import pyarrow as pa
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            if held is not None:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0] if batch.num_rows else held
+            if not batch.num_rows:
+                continue
+            g = batch.column(0).to_numpy()
+            cut = int(g.searchsorted(g[-1]))
+            if cut:
+                yield decide(batch.slice(0, cut))
+            held = batch.slice(cut)
+        if held is not None:
+            yield decide(held)
+
+    return rows.repartition("g").sortWithinPartitions("g", "k", "d", "x").mapInArrow(run, schema)
+
+
+def _losers(g, k, x):
+    """Of sorted rows those that were settled or are not the first of their (g, k)."""
+    import numpy as np
+
+    again = np.zeros(len(g), bool)
+    again[1:] = (g[1:] == g[:-1]) & (k[1:] == k[:-1])
+    return again | ((x & 3) == _SETTLED)
 
 
 def _judged(rows: DataFrame) -> DataFrame:
-    """(d, p, n, state): rows that are not the first of equal rank pairs (LOSER), and firsts of groups
-    with different pairs (OPEN), from rows sorted by group and rank pair."""
+    """(d, p, n, state): units that are not the first of equals, and firsts that share their anchor with
+    different ones."""
     import numpy as np
     import pyarrow as pa
 
-    def judge(batches):
-        names = ["g", "k1", "k2", "d", "p", "n", "kind"]
-        held = None
+    def decide(batch):
+        g, k, d, x = (c.to_numpy() for c in batch.columns)
+        kind = x & 3
+        lose = _losers(g, k, x)
+        new = np.ones(len(g), bool)
+        new[1:] = g[1:] != g[:-1]
+        group = np.cumsum(new) - 1
+        hot = np.bincount(group, (kind == _MARK) | (kind == _SALTED)) > 0
+        different = hot | (np.bincount(group, ~lose) > 1)
+        keep = (lose | different[group]) & (kind != _MARK)
+        state = np.where(lose, LOSER, np.where(hot[group], HOT, OPEN)).astype(np.int8)
+        return pa.RecordBatch.from_arrays([pa.array(d[keep]), pa.array(x[keep] >> 9), pa.array(((x[keep] >> 2) & 127).astype(np.int32)), pa.array(state[keep])], ["d", "p", "n", "state"])
+
+    return _sorted_groups(rows, decide, "d long, p long, n int, state byte")
+
+
+def _slices(units: list[bytes]):
+    held, size = [], 0
+    for u in units:
+        held.append(u)
+        size += len(u)
+        if size >= BLOCK:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
-        def decide(rows):
-            g, k1, k2, d, p, n, kind = rows
-            if not len(g):
-                return None
-            new_g = np.ones(len(g), bool)
-            new_g[1:] = g[1:] != g[:-1]
-            settled = kind == _SETTLED
-            new = new_g.copy()
-            new[1:] |= (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
-            group = np.cumsum(new_g) - 1
-            different = np.bincount(group, new & ~settled) > 1
-            different |= np.bincount(group, (kind == _MARK) | (kind == _SALTED)) > 0
-            lose = settled | ~new
-            keep = (lose | different[group]) & (kind != _MARK)
-            state = np.where(lose, LOSER, OPEN).astype(np.int8)
-            return pa.RecordBatch.from_arrays([pa.array(d[keep]), pa.array(p[keep]), pa.array(n[keep]), pa.array(state[keep])], ["d", "p", "n", "state"])
 
+def _judged_strings(rows: DataFrame, length: int) -> DataFrame:
+    """(d, p, n): runs of strings that are not the first of their equals."""
+    import numpy as np
+    import pyarrow as pa
+
+    def decide(batch):
+        g, k, d, x = (batch.column(i).to_numpy() for i in range(4))
+        alone = batch.column(4).is_null().to_numpy(zero_copy_only=False)
+        lose = _losers(g, k, x) & alone
+        out_d, out_p, out_n = [d[lose]], [x[lose] >> 9], [np.ones(int(lose.sum()), np.int32)]
+        units = batch.column(4).filter(pa.array(~alone)).to_pylist()
+        if units:
+            d, x = d[~alone], x[~alone]
+            n = np.asarray([len(u) for u in units]) - length + 1
+            pairs = []
+            for some in _slices(units):  # names take many times the bytes they are made of
+                begin = np.cumsum([0, *(len(u) for u in some)])
+                block = Block(np.frombuffer(b"".join(some), np.uint8), list(zip(begin[:-1].tolist(), np.diff(begin).tolist(), strict=True)), length)
+                size = np.diff(begin) - length + 1
+                pairs.append(block.pair(np.repeat(begin[:-1], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)))
+            a, b = (np.concatenate(v) for v in zip(*pairs, strict=True))
+            row = np.repeat(np.arange(len(units), dtype=np.int32), n)
+            p = (x >> 9)[row] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            order = np.lexsort((p, d[row], b, a))
+            again = np.zeros(len(row), bool)
+            again[1:] = (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1])
+            lost = np.zeros(len(row), bool)
+            lost[order] = again
+            # successive lost strings of one unit as one run
+            first = lost.copy()
+            first[1:] &= ~lost[:-1] | (row[1:] != row[:-1])
+            at = np.flatnonzero(first)
+            if len(at):
+                out_d.append(d[row[at]])
+                out_p.append(p[at])
+                out_n.append(np.add.reduceat(lost.astype(np.int32), at))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_d)), pa.array(np.concatenate(out_p)), pa.array(np.concatenate(out_n).astype(np.int32))], ["d", "p", "n"])
+
+    return _sorted_groups(rows, decide, "d long, p long, n int")
+
+
+def _packed(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``data`` compressed: what two joins move."""
+    import pyarrow as pa
+
+    names = rows.columns
+    at = names.index("data")
+
+    def run(batches):
+        from zstandard import ZstdCompressor
+
+        pack = ZstdCompressor(level=3).compress
         for batch in batches:
-            rows = [batch.column(i).to_numpy() for i in range(len(names))]
-            if held is not None:
-                rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
-            g = rows[0]
-            cut = int(np.searchsorted(g, g[-1])) if len(g) else 0
-            if cut and (out := decide([x[:cut] for x in rows])) is not None:
-                yield out
-            held = [x[cut:] for x in rows]
-        if held is not None and (out := decide(held)) is not None:
-            yield out
+            columns = list(batch.columns)
+            columns[at] = pa.array([pack(x) for x in batch.column(at).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    spread = rows.repartition("g").sortWithinPartitions("g", "k1", "k2", "d", "p")
-    return spread.mapInArrow(judge, "d long, p long, n int, state byte")
+    return rows.mapInArrow(run, rows.schema)
 
 
 def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     """(d, p, n): n successive strings from p on that start earlier, for rows (d, base, data) of docs; p is
     an offset in the row's bytes plus its base.  Runs of one row may touch."""
     units = materialise(_judged(_units(docs, length)), "units")
-    wanted = units.where(f"state = {OPEN}").groupBy("d").agg(F.collect_list("p").alias("wanted"))
-    strings = _judged(_strings(docs.join(wanted, "d"), length)).where(f"state = {LOSER}")
-    return units.where(f"state = {LOSER}").select("d", "p", "n").unionByName(strings.select("d", "p", "n"))
+    places = lambda state: F.collect_list(F.when(F.col("state") == state, F.col("p")))
+    wanted = units.where(f"state <> {LOSER}").groupBy("d").agg(places(OPEN).alias("wanted"), places(HOT).alias("hot"))
+    strings = _judged_strings(_open(_packed(docs).join(wanted, "d"), length), length)
+    return units.where(f"state = {LOSER}").select("d", "p", "n").unionByName(strings)
 
 
 def _placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -278,7 +382,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
 
     def cut(batches):
         for batch in batches:
-            ids, bases, texts = batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            ids, bases, texts = batch.column(0), batch.column(1).to_pylist(), _texts(batch, 2)
             lists = batch.column(3)
             bounds = lists.offsets.to_numpy()
             p, n = (lists.values.field(i).to_numpy() for i in (0, 1))
@@ -298,7 +402,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
                 out.append((len(data), int(gone.sum()), runs, np.frombuffer(data, np.uint8)[~gone].tobytes()))
             yield pa.RecordBatch.from_arrays([ids, *(pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary())))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    joined = rows.join(spans, "d", "left").select("doc_id", "base", "data", "spans")
+    joined = _packed(rows).join(spans, "d", "left").select("doc_id", "base", "data", "spans")
     return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
