@@ -240,6 +240,14 @@ def q_keys_and_previews(spark: Spark, sf: str) -> Frame:
     return table(spark, sf, "documents").select("doc_id", dish_key(F.substring(t, 1, 60)).alias("key"), preview(F.substring(t, 1, 300)).alias("preview"))
 
 
+@query("""WITH d AS (SELECT doc_id, text, trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS short FROM documents)
+SELECT doc_id, left(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+', '-', 'g'), '^-+|-+$', '', 'g'), 200) AS key, CASE WHEN length(short) > 96 THEN rtrim(left(short, 95)) || '…' ELSE short END AS preview FROM d""")
+def q_keys_and_previews_whole(spark: Spark, sf: str) -> Frame:
+    """slugs and short forms of whole texts; the operators' own limits are the only ones."""
+    t = F.col("text")
+    return table(spark, sf, "documents").select("doc_id", dish_key(t).alias("key"), preview(t).alias("preview"))
+
+
 @query("""SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 'non_alcoholic' WHEN p_size % 4 = 1 THEN 'alcoholic' WHEN p_size % 4 = 2 THEN 'non_alcoholic' ELSE 'unclear' END AS status, array_to_string(list_transform(string_split(lower(p_type), '_'), lambda x: upper(x[1]) || x[2:]), ' ') AS label FROM part""")
 def q_drink_labels(spark: Spark, sf: str) -> Frame:
     """zero-proof before alcohol before soft drinks."""
