@@ -43,9 +43,9 @@ c AS (SELECT restaurant_id, count(*) AS total, count(*) FILTER ((food OR product
 
 
 @query(f"{_COUNTS} SELECT * FROM c")
-def q_counts(spark: Spark, sf: str) -> Frame:
+def q_counts(spark: Spark, sf: str, rows=dishes) -> Frame:
     """Headline counts and substance points of each venue."""
-    return venue_counts(dishes(spark, sf))
+    return venue_counts(rows(spark, sf))
 
 
 _SCORE = """, s AS (SELECT c.*, s_name, s_nationkey % 5 = 0 AS dessert, s_suppkey % 3 = 0 AS plant, CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE 3.0 + s_suppkey % 20 / 10.0 END AS rating,
@@ -58,21 +58,22 @@ SELECT restaurant_id, s_name, CAST(round(a + b + r, 4) AS DOUBLE) AS score, CAST
 
 
 @query(_COUNTS + _SCORE)
-def q_score(spark: Spark, sf: str) -> Frame:
+def q_score(spark: Spark, sf: str, rows=dishes, branches: int = 1) -> Frame:
     """The composite score and its parts."""
     k = F.col("s_suppkey")
     venues = table(spark, sf, "supplier").select(
-        k.alias("restaurant_id"), "s_name", (F.col("s_nationkey") % 5 == 0).alias("is_dessert_venue"), (k % 3 == 0).alias("plant_protein"),
+        k, "s_name", (F.col("s_nationkey") % 5 == 0).alias("is_dessert_venue"), (k % 3 == 0).alias("plant_protein"),
         F.when(k % 7 != 0, F.lit(3.0) + k % 20 / 10.0).alias("rating"), F.when(k % 11 != 0, k % 400).alias("user_rating_count"),
     )
-    scored = venue_scores(venue_counts(dishes(spark, sf)).join(venues, "restaurant_id"), digits=4)
+    counts = venue_counts(rows(spark, sf)).withColumn("s_suppkey", F.expr(f"restaurant_id div {branches}"))
+    scored = venue_scores(counts.join(venues, "s_suppkey"), digits=4)
     return scored.select("restaurant_id", "s_name", "score", "selection", "substance", "reputation", "basis")
 
 
 @query(f"WITH {DISHES_SQL} SELECT restaurant_id, l_orderkey, l_linenumber, verdict, confidence FROM dishes WHERE verdict = 'vegan' OR (verdict = 'likely_vegan' AND confidence >= 0.75)")
-def q_strict(spark: Spark, sf: str) -> Frame:
+def q_strict(spark: Spark, sf: str, rows=dishes) -> Frame:
     """Strictly vegan rows."""
-    return dishes(spark, sf).where(strict_vegan(F.col("verdict"), F.col("confidence"))).select("restaurant_id", "l_orderkey", "l_linenumber", "verdict", "confidence")
+    return rows(spark, sf).where(strict_vegan(F.col("verdict"), F.col("confidence"))).select("restaurant_id", "l_orderkey", "l_linenumber", "verdict", "confidence")
 
 
 @query("""SELECT c_custkey, nullif(lower(c_mktsegment), 'building') AS primary_type FROM customer
@@ -149,9 +150,9 @@ def q_census(spark: Spark, sf: str) -> Frame:
 
 
 @query(f"WITH {DISHES_SQL}, c AS (SELECT restaurant_id, verdict, count(*) AS n FROM dishes GROUP BY ALL) SELECT restaurant_id, string_agg(verdict || '=' || n, ',' ORDER BY verdict) AS by_verdict FROM c GROUP BY restaurant_id")
-def q_count_map(spark: Spark, sf: str) -> Frame:
+def q_count_map(spark: Spark, sf: str, rows=dishes) -> Frame:
     """Counts under keys known at run time, here as text."""
-    maps = count_map(dishes(spark, sf), "restaurant_id", "verdict", "m")
+    maps = count_map(rows(spark, sf), "restaurant_id", "verdict", "m")
     return maps.select("restaurant_id", F.array_join(F.transform(F.array_sort(F.map_entries("m")), lambda e: F.concat_ws("=", e.key, e.value.cast("string"))), ",").alias("by_verdict"))
 
 
@@ -165,11 +166,11 @@ def q_runguards(spark: Spark, sf: str) -> Frame:
 
 @query(f"""WITH {DISHES_SQL} SELECT CAST(CASE verdict WHEN 'vegan' THEN 0 WHEN 'likely_vegan' THEN 1 WHEN 'vegan_adaptable' THEN 2 WHEN 'not_vegan' THEN 4 ELSE 3 END AS INTEGER) AS vegan,
   CAST(CASE WHEN protein_level = 'high' THEN 0 WHEN protein_level = 'low' THEN 4 WHEN verdict = 'vegan' THEN 0 WHEN verdict IN ('likely_vegan', 'vegan_adaptable') THEN 1 ELSE 3 END AS INTEGER) AS vegetarian, count(*) AS n FROM dishes GROUP BY ALL""")
-def q_tier(spark: Spark, sf: str) -> Frame:
+def q_tier(spark: Spark, sf: str, rows=dishes) -> Frame:
     """Suitability tiers by diet profile."""
     status = F.when(F.col("protein_level") == "high", "vegetarian").when(F.col("protein_level") == "low", "not_vegetarian")
-    rows = dishes(spark, sf).select(tier("vegan", F.col("verdict")).alias("vegan"), tier("vegetarian", F.col("verdict"), status).alias("vegetarian"))
-    return rows.groupBy("vegan", "vegetarian").agg(F.count("*").alias("n"))
+    found = rows(spark, sf).select(tier("vegan", F.col("verdict")).alias("vegan"), tier("vegetarian", F.col("verdict"), status).alias("vegetarian"))
+    return found.groupBy("vegan", "vegetarian").agg(F.count("*").alias("n"))
 
 
 @query("""WITH p AS (SELECT a.doc_id, CASE a.quality WHEN 1 THEN 'vegan' ELSE 'unclear' END AS x, CASE a.toxic WHEN 1 THEN 'not_vegan' ELSE 'likely_vegan' END AS y FROM labels a)

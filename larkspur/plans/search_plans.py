@@ -33,12 +33,12 @@ def q_formats(spark: Spark, sf: str) -> Frame:
 @query(f"""WITH {DISHES_SQL} SELECT restaurant_id, l_orderkey, l_linenumber, name FROM dishes
 WHERE verdict IN ('vegan', 'likely_vegan', 'vegan_adaptable') AND CASE WHEN category IN ('drink', 'dessert') THEN category ELSE 'food' END = 'food' AND coalesce(serving_role, 'main') <> 'side'
   AND p_retailprice IS NOT NULL AND p_retailprice <= 1000 AND contains(name, 'ring')""")
-def q_filter(spark: Spark, sf: str) -> Frame:
+def q_filter(spark: Spark, sf: str, rows=dishes) -> Frame:
     """The conjunction of search filters."""
     kind = F.when(F.col("category").isin("drink", "dessert"), F.col("category")).otherwise("food")
     role = ~F.col("serving_role").eqNullSafe("side")
-    rows = dishes(spark, sf).where(F.col("verdict").isin("vegan", "likely_vegan", "vegan_adaptable") & (kind == "food") & role & F.col("p_retailprice").isNotNull() & (F.col("p_retailprice") <= 1000) & F.col("name").contains("ring"))
-    return rows.select("restaurant_id", "l_orderkey", "l_linenumber", "name")
+    found = rows(spark, sf).where(F.col("verdict").isin("vegan", "likely_vegan", "vegan_adaptable") & (kind == "food") & role & F.col("p_retailprice").isNotNull() & (F.col("p_retailprice") <= 1000) & F.col("name").contains("ring"))
+    return found.select("restaurant_id", "l_orderkey", "l_linenumber", "name")
 
 
 @query("""SELECT p_partkey, p_name FROM part WHERE (contains(p_name, 'rings') OR contains(p_name, 'ring')) AND contains(p_name, 'red') AND p_type IN ('ECONOMY', 'PROMO', 'STANDARD')""")
@@ -90,11 +90,11 @@ def q_rank_browse(spark: Spark, sf: str) -> Frame:
   l_orderkey * 1000000 + l_partkey * 10 + l_linenumber AS id FROM dishes)
 SELECT id, CAST(tier AS INTEGER) AS tier, CAST(role AS INTEGER) AS role, CAST(row_number() OVER (PARTITION BY restaurant_id, tier, role ORDER BY confidence DESC NULLS LAST, name, id, l_extendedprice, created_at, l_quantity) AS BIGINT) AS occ FROM t
 QUALIFY count(*) OVER (PARTITION BY restaurant_id, id) = 1""")
-def q_interleave(spark: Spark, sf: str) -> Frame:
+def q_interleave(spark: Spark, sf: str, rows=dishes) -> Frame:
     """The turn of each row among those of its venue, tier and role."""
-    rows = dishes(spark, sf).withColumns({"id": F.col("l_orderkey") * 1000000 + F.col("l_partkey") * 10 + F.col("l_linenumber"), "rating": F.lit(None).cast("double")})
-    once = rows.groupBy("restaurant_id", "id").agg(F.count("*").alias("c")).where("c = 1").drop("c")
-    return interleave(rows).join(once, ["restaurant_id", "id"], "left_semi").select("id", "tier", "role", "occ")
+    found = rows(spark, sf).withColumns({"id": F.col("l_orderkey") * 1000000 + F.col("l_partkey") * 10 + F.col("l_linenumber"), "rating": F.lit(None).cast("double")})
+    once = found.groupBy("restaurant_id", "id").agg(F.count("*").alias("c")).where("c = 1").drop("c")
+    return interleave(found).join(once, ["restaurant_id", "id"], "left_semi").select("id", "tier", "role", "occ")
 
 
 @query("""SELECT p_partkey, CAST(regexp_extract('$' || p_size || '.' || lpad((p_partkey % 100)::VARCHAR, 2, '0') || ' / $' || p_partkey, '[0-9]{1,3}(?:\\.[0-9]{1,2})?') AS DOUBLE) AS first_price,

@@ -21,8 +21,13 @@ DISHES_SQL = """dishes AS (
 
 
 def dishes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Classified dishes: line items of large quantity, with part and supplier as dish and venue."""
-    lines = table(spark, sf_dir, "lineitem").where("l_quantity >= 48")
+    """The dishes of large quantity, 6 % of all."""
+    return all_dishes(spark, sf_dir).where("l_quantity >= 48")
+
+
+def all_dishes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classified dishes: line items, with part and supplier as dish and venue."""
+    lines = table(spark, sf_dir, "lineitem")
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", "p_retailprice")
     venues = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     kind, size, nation = F.col("l_returnflag"), F.col("p_size") % 7, F.col("s_nationkey") % 5

@@ -14,3 +14,14 @@ def test_keys_and_previews_see_whole_texts(spark, tmp_path):
     assert got[2].preview == "late" and got[3].preview == "a cut inside"
     assert got[4].key == "x" * 200 and got[4].preview == "x" * 95 + "…"
     assert got[5].key == "" and got[5].preview is None
+
+
+def test_dishes_of_all_lines(spark):
+    counts = {name: QUERIES[name](spark, SF) for name in ("q_counts_whole", "q_tier_whole", "q_count_map_whole", "q_score_whole")}
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet")
+    n = lines.count()
+    assert sum(r.total for r in counts["q_counts_whole"].collect()) == sum(r.n for r in counts["q_tier_whole"].collect()) == n
+    assert sum(int(e.split("=")[1]) for r in counts["q_count_map_whole"].collect() for e in r.by_verdict.split(",")) == n
+    # the branches' scores discriminate: the selection part is at its upper bound in few of them
+    scores = counts["q_score_whole"].collect()
+    assert len({r.selection for r in scores}) > 10 and sum(r.selection == 5 for r in scores) < len(scores) / 2
