@@ -29,7 +29,7 @@ def q_identity_groups(spark: Spark, sf: str) -> Frame:
 
 @query()
 def q_keep_pages(spark: Spark, sf: str) -> Frame:
-    """Pages of a source, best first, within a budget."""
+    """Pages of a source, best first, within a budget."""
     x = menu_signals(F.col("text"), low=F.col("low"))
     docs = table(spark, sf, "documents").where("text IS NOT NULL").withColumn("low", F.lower("text")).select("source", F.col("doc_id").alias("page"), "text", *[v.alias(k) for k, v in x.items()])
     scored = docs.withColumn("score", menu_score(*[F.col(k) for k in ("prices", "food", "sections", "gifts", "lines", "short_lines")])).withColumn("is_menu", F.col("score") >= 0.1)

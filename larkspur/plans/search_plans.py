@@ -228,7 +228,7 @@ def q_url_parts(spark: Spark, sf: str) -> Frame:
 @query("""WITH l AS (SELECT page_id, regexp_extract_all(html, '<a\\s[^>]*?href=["'']([^"'']*)["'']', 1) AS h FROM pages)
 SELECT page_id, CAST(unnest(range(0, len(h))) AS INTEGER) AS place, unnest(h) AS href FROM l""")
 def q_links(spark: Spark, sf: str) -> Frame:
-    """The links of each page, in order."""
+    """The raw links of each page, in order; see operators.extract.internal_links for L03."""
     return links(table(spark, sf, "pages"), keep=("page_id",))
 
 
