@@ -95,9 +95,10 @@ def q_rate_limit(spark: Spark, sf: str) -> Frame:
 
 @query("""SELECT 'order' AS kind, o_orderkey AS id, o_orderdate AS ts, o_orderstatus AS status, NULL::DOUBLE AS value FROM orders WHERE o_orderdate >= TIMESTAMP '2001-01-01'
 UNION ALL SELECT 'event', event_id, ts, NULL, value FROM events WHERE event_type = 'purchase'""")
-def q_activity_union(spark: Spark, sf: str) -> Frame:
-    """Unlike events as one feed."""
-    orders = table(spark, sf, "orders").where("o_orderdate >= TIMESTAMP_NTZ '2001-01-01 00:00:00'").select(F.lit("order").alias("kind"), F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("ts"), F.col("o_orderstatus").alias("status"))
+def q_activity_union(spark: Spark, sf: str, orders_where: str = "o_orderdate >= TIMESTAMP_NTZ '2001-01-01 00:00:00'") -> Frame:
+    """Unlike events as one feed.  The bound of the order dates stands for no rule of the
+    reference; q_activity_union_whole has none."""
+    orders = table(spark, sf, "orders").where(orders_where).select(F.lit("order").alias("kind"), F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("ts"), F.col("o_orderstatus").alias("status"))
     buys = table(spark, sf, "events").where("event_type = 'purchase'").select(F.lit("event").alias("kind"), F.col("event_id").alias("id"), "ts", "value")
     return feed([orders, buys])
 

@@ -1,10 +1,11 @@
-"""The queries over dishes again, over all of lineitem: the older ones take large quantities alone."""
+"""Queries again over all of their tables: the older ones take large quantities or late orders alone."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .change_plans import q_activity_union
 from .read_models import q_count_map, q_counts, q_score, q_strict, q_tier
 from .registry import SQL, query
 from .search_plans import q_filter, q_interleave
@@ -46,3 +47,9 @@ _BRANCH_SQL = _swapped(_swapped(_all_rows(SQL["q_score"]), "l_suppkey AS restaur
 def q_score_whole(spark: SparkSession, sf: str) -> DataFrame:
     """The composite score of each supplier's branches, and its parts."""
     return q_score(spark, sf, rows=branch_dishes, branches=BRANCHES)
+
+
+@query(_swapped(SQL["q_activity_union"], " WHERE o_orderdate >= TIMESTAMP '2001-01-01'", ""))
+def q_activity_union_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Unlike events as one feed."""
+    return q_activity_union(spark, sf, orders_where="true")

@@ -25,3 +25,8 @@ def test_dishes_of_all_lines(spark):
     # the branches' scores discriminate: the selection part is at its upper bound in few of them
     scores = counts["q_score_whole"].collect()
     assert len({r.selection for r in scores}) > 10 and sum(r.selection == 5 for r in scores) < len(scores) / 2
+
+
+def test_feed_of_all_orders(spark):
+    got = QUERIES["q_activity_union_whole"](spark, SF)
+    assert got.where("kind = 'order'").count() == spark.read.parquet(f"{SF}/orders.parquet").count()
