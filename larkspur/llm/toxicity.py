@@ -1,28 +1,30 @@
 """Toxicity by weak supervision: a label model over many voters, and a linear classifier on its posterior.
 
-Voters come from the training rows: words (lexicon voters) and word beginnings (pattern voters) that lean
+Voters come from all training rows, counted in a distributed aggregate: words (lexicon voters) and word beginnings (pattern voters) that lean
 to the toxic class vote for it, and voters that find nothing of their part of the lexicon vote against it.
 The given label is one more voter.  A generative model (class prior, and for each voter how often it votes
 in either class) is fitted by expectation maximisation.  Voters that agree beyond what the class explains
 are correlated; a voter counts by one over its summed squared correlation, so that a family of voters that
-say the same counts about once.  The posterior of the rows trains a logistic regression on words and word
-beginnings, and that scores whole texts.
+say the same counts about once.  The posterior of a bounded sample of the rows trains a logistic regression
+on words and word beginnings, and that scores whole texts; features that no sampled row has are weighted by
+their counts over all training rows.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 from zlib import crc32
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, table
+from .common import Memo, materialise, table
 from .decontaminate import words
 
 #: Lengths in bytes of the word beginnings that are features besides whole words.
 BEGINNINGS = (4, 5, 6)
-#: The classifier is fitted on at most so many labelled rows, the first by a hash of the id.
+#: The weights are fitted on at most so many labelled rows, the first by a hash of the id; the lexicon is of all.
 SAMPLE_ROWS = 8_000
 MAX_VOTERS, MAX_FEATURES = 300, 6_000
 CLEAN_VOTERS = 5
@@ -143,21 +145,91 @@ class Model:
         return docs.mapInArrow(run, f"{schema}, `{out}` double")
 
 
-def fit_rows(features: list, labels) -> Model:
-    """features: one integer array a row; labels: 0 or 1 a row."""
+@dataclass
+class Lexicon:
+    """Features by number, with the rows and toxic rows that have each, and how many features a word of
+    each has; and the rows and toxic rows that were counted."""
+
+    found: object
+    count: object
+    bad: object
+    kin: object
+    rows: int
+    toxic: int
+
+
+def lexicon_of(rows: DataFrame) -> Lexicon:
+    """The leaning features of all of ``rows`` (y, text): those that can be voters or the classifier's."""
+    import pyarrow as pa
+
+    names = ["f", "n", "bad", "kin"]
+
+    def count(batches):
+        total, bad, kin = Counter(), Counter(), {}
+
+        def known(word):
+            fs = word_features(word)
+            for f in fs:
+                kin[f] = max(kin.get(f, 0), len(fs))
+            return fs
+
+        def flush():
+            out = [list(total), list(total.values()), [bad[f] for f in total], [kin[f] for f in total]]
+            for held in (total, bad, kin):
+                held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names)
+
+        memo, seen, toxic = Memo(known, 50_000), 0, 0
+        for batch in batches:
+            for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = {f for fs in map(memo.__getitem__, text_words(text)) for f in fs}
+                total.update(found)
+                if y:
+                    bad.update(found)
+                seen, toxic = seen + 1, toxic + y
+                if len(total) > 200_000:
+                    yield flush()
+                    memo = Memo(known, 50_000)
+        yield flush()
+        yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()) for c in (-1, seen, toxic, 0)], names)
+
+    counts = rows.select("y", "text").mapInArrow(count, "f long, n long, bad long, kin long")
+    counts = counts.groupBy("f").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.max("kin").alias("kin"))
+    counts = materialise(counts.where("n >= 3 OR f < 0"), "lexicon")
+    n, toxic = next(iter(counts.where("f < 0").select("n", "bad").collect()), (0, 0))
+    base = toxic / n if n else 0.0
+    z = (F.col("bad") - base * F.col("n")) / F.sqrt(F.col("n") * base * (1 - base) + 1e-9)
+    leaning = (F.col("bad") + 1) / (F.col("n") + 2) > max(0.5, 3 * base) if base < 0.3 else F.col("z") > 3
+    known = counts.where("f >= 0").withColumn("z", z)
+    # two bounded results: what is strongest either way, and the strongest of those that can vote
+    some = [known.orderBy(F.desc(F.abs("z")), "f").limit(MAX_FEATURES), known.where(leaning & (F.col("n") >= 4)).orderBy(F.desc("z"), "f").limit(MAX_VOTERS)]
+    got = pa.concat_tables([s.select(names).toArrow() for s in some]).group_by("f").aggregate([(c, "max") for c in names[1:]]).sort_by("f")
+    columns = [got.column(c).to_numpy() for c in ("f", "n_max", "bad_max", "kin_max")]
+    return Lexicon(*columns, n, toxic)
+
+
+def fit_rows(features: list, labels, lexicon: Lexicon | None = None) -> Model:
+    """features: one integer array a row; labels: 0 or 1 a row.  Without a lexicon it is that of the rows."""
     import numpy as np
 
     labels = np.asarray(labels, float)
-    n, toxic = len(labels), float(labels.sum())
+    rows = len(labels)
+    n, toxic = (lexicon.rows, float(lexicon.toxic)) if lexicon else (rows, float(labels.sum()))
     if not n or toxic in (0.0, float(n)):
         share = (toxic + 0.5) / (n + 1)
         return Model({}, float(np.log(share / (1 - share))))
-    sizes = np.asarray([len(f) for f in features])
-    row_of = np.repeat(np.arange(n, dtype=np.int32), sizes)
-    found, columns = np.unique(np.concatenate(features) if sizes.sum() else np.zeros(0, np.uint32), return_inverse=True)
-    columns = columns.astype(np.int32)
-    count = np.bincount(columns, minlength=len(found))
-    bad = np.bincount(columns, labels[row_of], minlength=len(found))
+    sizes = np.asarray([len(f) for f in features], int)
+    row_of = np.repeat(np.arange(rows, dtype=np.int32), sizes)
+    flat = np.concatenate(features) if sizes.sum() else np.zeros(0, np.uint32)
+    if lexicon:
+        found, count, bad, kin = lexicon.found, lexicon.count, lexicon.bad, lexicon.kin
+        own = np.isin(flat, found)
+        row_of, columns = row_of[own], np.searchsorted(found, flat[own]).astype(np.int32)
+    else:
+        found, columns = np.unique(flat, return_inverse=True)
+        columns = columns.astype(np.int32)
+        count, kin = np.bincount(columns, minlength=len(found)), np.ones(len(found))
+        bad = np.bincount(columns, labels[row_of], minlength=len(found))
     base = toxic / n
     z = (bad - base * count) / np.sqrt(count * base * (1 - base) + 1e-9)
 
@@ -166,12 +238,11 @@ def fit_rows(features: list, labels) -> Model:
     lean = lean[np.argsort(-z[lean], kind="stable")][:MAX_VOTERS]
     voter = np.full(len(found), -1)
     voter[lean] = np.arange(len(lean))
-    votes = np.zeros((n, len(lean) + CLEAN_VOTERS), bool)
+    votes = np.zeros((rows, len(lean) + CLEAN_VOTERS), bool)
     on = voter[columns] >= 0
     votes[row_of[on], voter[columns[on]]] = True
     for k in range(CLEAN_VOTERS):
         votes[:, len(lean) + k] = ~votes[:, : len(lean)][:, k::CLEAN_VOTERS].any(1)
-    posterior = label_model(votes, labels).posterior
 
     # the classifier's features: those that lean most to either class
     use = np.flatnonzero(count >= 3)
@@ -179,7 +250,14 @@ def fit_rows(features: list, labels) -> Model:
     number = np.full(len(found), -1)
     number[use] = np.arange(len(use))
     own = number[columns] >= 0
-    w, b = logistic(Rows(number[columns[own]], row_of[own], n), len(use), posterior)
+    w, b = np.zeros(len(use)), float(np.log(base / (1 - base)))
+    prior, seen = b, np.bincount(number[columns[own]], minlength=len(use)) > 0
+    if rows:
+        w, b = logistic(Rows(number[columns[own]], row_of[own], rows), len(use), label_model(votes, labels).posterior)
+    # what no sampled row has goes by its counts: log odds against the prior, and for voters against the
+    # bias, so that a text with such a word alone is as toxic as its rows; shared among a word's features
+    by_count = (np.log((bad[use] + 0.5) / (count[use] - bad[use] + 0.5)) - np.where(voter[use] >= 0, b, prior)) / kin[use]
+    w = np.where(seen, w, by_count)
     return Model({int(f): float(x) for f, x in zip(found[use], w, strict=True) if abs(x) > 1e-4}, b)
 
 
@@ -189,7 +267,8 @@ def held_out(doc_id) -> F.Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """The scorer from the labelled rows that are not held out, at most ``sample_rows`` of them.
+    """The scorer from the labelled rows that are not held out: the lexicon from all, the weights from at
+    most ``sample_rows`` of them.
 
     Rows with a null id, label or text do not count; an id that is labelled more than once has its
     larger label; an id with several texts counts with each.  Without rows of both classes every text
@@ -199,12 +278,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     import pyarrow as pa
 
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("id")))
-    some = known.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample_rows)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").join(F.broadcast(some), "id").select("id", "y", "text")
+    known = known.groupBy("id").agg(F.max("y").alias("y"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
+    # the labels grow with the texts, so they are not broadcast; a hash join sorts no texts
+    lexicon = lexicon_of(texts.join(known.hint("shuffle_hash"), "id"))
+    rows = texts.join(F.broadcast(known.orderBy(F.xxhash64("id"), "id").limit(sample_rows)), "id").select("id", "y", "text")
+    own = frozenset(lexicon.found.tolist())
 
     def features(batches):
+        memo = Memo(lambda word: tuple(f for f in word_features(word) if f in own), 50_000)
         for batch in batches:
-            out = [np.unique(np.asarray([f for w in text_words(t) for f in word_features(w)], np.uint32)).view(np.int32) for t in batch.column(2).to_pylist()]
+            out = [np.asarray(sorted({f for fs in map(memo.__getitem__, text_words(t)) for f in fs}), np.uint32).view(np.int32) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int32()))], ["id", "y", "features"])
 
     kind = rows.schema["id"].dataType.simpleString()
@@ -212,7 +296,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     lists = got.column("features").combine_chunks()
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
     bounds, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint32)
-    return fit_rows([flat[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)], got.column("y").to_numpy())
+    return fit_rows([flat[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)], got.column("y").to_numpy(), lexicon)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from larkspur.llm.toxicity import fit_rows, held_out, label_model, toxicity_scores, word_features
+from larkspur.llm.toxicity import fit, fit_rows, held_out, label_model, toxicity_scores, word_features
 
 
 def corpus(n=1500, seed=1):
@@ -62,3 +62,20 @@ def test_label_model_mends_wrong_labels_and_weighs_copies_once():
 def test_word_features():
     assert len(word_features(b"abc")) == 1 and len(set(word_features(b"abcdefgh"))) == 4
     assert fit_rows([], []).weights == {}
+
+
+def test_lexicon_is_of_all_labelled_rows(spark):
+    """Toxic words that no sampled row has are known all the same."""
+    rows, labels = corpus(1500, seed=3)
+    first = 10_000
+    rare = [(first + i, f"{rows[i][1]} {'grulk' if i % 2 else 'morvagish'}", "en", 0.5) for i in range(40)]
+    labels += [(i, 0, 1) for i, *_ in rare]
+    ids = spark.createDataFrame([(i,) for i, *_ in labels], "id long")
+    F = __import__("pyspark").sql.functions
+    sampled = {r.id for r in ids.where(~held_out(F.col("id"))).orderBy(F.xxhash64("id"), "id").limit(300).collect()}
+    rare = [r for r in rare if r[0] not in sampled]
+    assert len(rare) > 20
+    docs = spark.createDataFrame([*rows, *rare], "doc_id long, text string, lang string, score double")
+    model = fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), sample_rows=300)
+    texts = spark.createDataFrame([(1, "see the grulk here"), (2, "a morvagish one"), (3, "see the one here")], "doc_id long, text string")
+    assert [r.score >= 0.5 for r in model.score(texts).orderBy("doc_id").collect()] == [True, True, False]
