@@ -37,8 +37,16 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def bpe_codec(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left, encoded and decoded again: ``doc_id, n_tokens, ids_sha256, decoded_sha256``."""
-    return encoded_digests(docs)
+    """What is left, encoded and decoded again: ``doc_id, n_tokens, ids_sha256, decoded_sha256``.
+    Documents that lost all their words on the way, since others hold them, go."""
+    return encoded_digests(without_emptied(docs, table(spark, sf_dir, "documents")))
+
+
+def without_emptied(docs: DataFrame, before: DataFrame) -> DataFrame:
+    """``docs`` without those that have no word but had one in ``before``; what never had a word stays."""
+    word = F.coalesce(F.col("text").rlike(r"[^ \t\r\n\f\x0B]"), F.lit(False))
+    had = before.groupBy(F.col("doc_id").alias("had")).agg(F.bool_and(word).alias("all")).where("all").select("had")
+    return docs.where(word).unionByName(docs.where(~word).join(had, F.col("doc_id").eqNullSafe(F.col("had")), "left_anti"))
 
 
 STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("jaccard_join", jaccard_join), ("decontamination", decontamination), ("bpe_codec", bpe_codec)]

@@ -72,3 +72,13 @@ def test_last_stage_and_run(spark, stages):
 
 def test_cut_keeps_the_rest():
     assert cut_spans("a b c d", [(0, 1), (2, 4)]) == " b "
+
+
+def test_emptied_documents_go(spark, stages):
+    word = lambda r: bool((r.text or "").strip(" \t\r\n\f\v"))
+    had = {r.doc_id for r in stages[0][1] if word(r)}
+    want = {r.doc_id for r in stages[4][1] if word(r) or r.doc_id not in had}
+    assert sorted(r.doc_id for r in stages[5][1]) == sorted(want) and len(want) < len(stages[4][1])
+    before = spark.createDataFrame([(1, "a"), (2, "a"), (3, " \n"), (4, None), (None, "b")], "doc_id long, text string")
+    after = spark.createDataFrame([(1, "a"), (2, ""), (3, " \n"), (4, None), (None, "")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in cp.without_emptied(after, before).collect()) == [1, 3, 4]
