@@ -15,9 +15,15 @@ from functools import lru_cache
 _SPACE_AFTER_SPACE = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S)(?= )")
 #: Runs that need no library: Latin-1 letters (composed, with plain lower cases) and common marks.
-_LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", ".,;:!?|%$#&*()"
-_PLAIN = re.compile(rf" ?[{_LETTERS}]+| ?[{_MARKS}]+|\n")
-_PLAIN_WORDS = re.compile(rf"[{_LETTERS}]+|[{_MARKS}]+|[ \n]+")
+LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", ".,;:!?|%$#&*()"
+_PLAIN = re.compile(rf" ?[{LETTERS}]+| ?[{MARKS}]+|\n")
+#: Normalisers and pre-tokenisers of word vocabularies that drop spaces.
+_WORD_STEPS = [("NFC", None, None), ("Replace", {"Regex": r"\s+"}, " "), ("Lowercase", None, None)]
+_WORD_PARTS = [
+    ("Split", {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "Removed", True, None, None),
+    ("ByteLevel", None, None, None, False, False),
+]
+_PLAIN_WORDS = re.compile(rf"[{LETTERS}]+|[{MARKS}]+|[ \n]+")
 
 
 def vocabulary_path(name: str) -> str:
@@ -72,6 +78,21 @@ class Vocabulary:
         normaliser = spec.get("normalizer")
         self._normalise = self.library.normalizer.normalize_str if normaliser else None
         self.drops_space = bool(self.word_end)
+        self.rules = self._rules(spec)
+
+    def _rules(self, spec: dict) -> str | None:
+        """Which splitting rules the file states, if they are ones that allow cutting texts at spaces: the
+        bytes with their spaces, or words without; None for any other file."""
+        if any("<" not in t or " " in t for t in self.added) or any(t.get(k) for t in spec.get("added_tokens", ()) for k in ("single_word", "lstrip", "rstrip")):
+            return None
+        split, normal = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
+        if normal is None and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space") and not self.word_end:
+            return "bytes"
+        steps = [(x["type"], x.get("pattern"), x.get("content")) for x in (normal or {}).get("normalizers", ())]
+        parts = [(x["type"], x.get("pattern"), x.get("behavior"), x.get("invert"), x.get("use_regex"), x.get("add_prefix_space")) for x in split.get("pretokenizers", ())]
+        if steps == _WORD_STEPS and parts == _WORD_PARTS and self.word_end:
+            return "words"
+        return None
 
     def letters(self, text: str) -> str:
         """The bytes of a text as byte letters."""
@@ -80,6 +101,8 @@ class Vocabulary:
     def plain(self, unit: str) -> list[str] | None:
         """The pre-tokens of a unit of letters, common marks and single inner newlines, by one match; None
         for any other unit.  For a vocabulary that normalises, in their normal form."""
+        if self.rules is None:
+            return None
         if self._normalise is not None:
             found = _PLAIN_WORDS.findall(unit)
             return [f.lower() for f in found if f[0] not in " \n"] if sum(map(len, found)) == len(unit) else None
@@ -132,3 +155,45 @@ def is_loose(text: str) -> bool:
 def loose_units(text: str) -> list[str]:
     """Pieces that start with a run of spaces (but for the first); joined they are the text."""
     return _CUT.split(text)
+
+
+def text_chunks(texts, size: int = 1 << 24):
+    """Slices of an Arrow array of texts with at most ``size`` bytes each, or one longer text."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        before = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + size, "right")))
+        yield texts.slice(at, to - at)
+        at = to
+
+
+def distinct_units(texts):
+    """(names, extra, codes, bounds) of an Arrow array of texts: text k is the units numbered
+    ``codes[bounds[k]:bounds[k + 1]]``, joined.  Units are ``names``, each after one space, and from
+    ``len(names)`` on ``extra`` as they are.  Null and empty texts have one empty unit."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    cut = pc.split_pattern(texts, " ")
+    bounds, coded = cut.offsets.to_numpy().astype(np.int64), cut.values.dictionary_encode()
+    names, codes = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+    # white space before a space, inside a text: that text is cut at other places
+    spaced = pc.or_(pc.equal(names, ""), pc.utf8_is_space(pc.utf8_slice_codeunits(names, -1))).to_numpy(zero_copy_only=False)[codes]
+    spaced[bounds[1:] - 1] = False
+    sums = np.concatenate([[0], np.cumsum(spaced)])[bounds]
+    loose = np.flatnonzero(sums[1:] > sums[:-1])
+    first, number = np.unique(codes[bounds[:-1]], return_inverse=True)
+    codes[bounds[:-1]] = len(names) + number
+    extra = names.take(pa.array(first)).to_pylist()
+    if not len(loose):
+        return names, extra, codes, bounds
+    own = {k: loose_units(texts[k].as_py()) for k in loose.tolist()}
+    place = {u: i for i, u in enumerate(dict.fromkeys(u for some in own.values() for u in some), len(names) + len(extra))}
+    rows = [np.asarray([place[u] for u in own[k]]) if k in own else codes[bounds[k] : bounds[k + 1]] for k in range(len(texts))]
+    return names, extra + list(place), np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])])

@@ -104,7 +104,10 @@ class Files:
 
 class Memo(dict):
     """A bounded memo table of a pure function: at ``cap`` entries the table becomes the old
-    generation, and entries that are still asked for move up again."""
+    generation, and entries that are still asked for move up again.  Keys of more than ``LONGEST``
+    characters are not kept (texts without spaces are one key), so the cap bounds the bytes too."""
+
+    LONGEST = 64
 
     def __init__(self, function, cap: int = 300_000):
         super().__init__()
@@ -123,6 +126,8 @@ class Memo(dict):
         return self.old.get(key) if value is None else value
 
     def add(self, key, value) -> None:
+        if isinstance(key, str | bytes) and len(key) > self.LONGEST:
+            return
         if len(self) >= self.cap:
             self.old = dict(self)
             self.clear()
