@@ -55,6 +55,30 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables written to the shared folder by one operator, which drops each when those that were made from
+    it are written too."""
+
+    def __init__(self):
+        self._held: list[tuple[DataFrame, str]] = []
+
+    def write(self, df: DataFrame, what: str) -> DataFrame:
+        """As ``materialise``."""
+        path = new_path(df.sparkSession, what)
+        df.write.parquet(path)
+        out = df.sparkSession.read.schema(df.schema).parquet(path)
+        self._held.append((out, path))
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that nothing will read again."""
+        for out, path in self._held:
+            if any(out is t for t in tables):
+                where = out.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(out.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        self._held = [(out, path) for out, path in self._held if not any(out is t for t in tables)]
+
+
 class Files:
     """Whole-file access to the shared folder from Python, on a local path or any pyarrow store."""
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import Scratch
 
 
 def _least(pairs: DataFrame) -> DataFrame:
@@ -15,22 +15,28 @@ def _least(pairs: DataFrame) -> DataFrame:
     return pairs.join(least, "u").select("u", "v", F.least("u", "m").alias("m"))
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, held: Scratch | None = None) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b): root is the smallest node that it reaches.
 
     Nulls and loops do not count.  A node without an edge has no row.  Every round is written to the
-    shared folder; rounds are logarithmic in the size of the largest component.
+    shared folder, and the one before it dropped; rounds are logarithmic in the size of the largest
+    component.  The result is a table of ``held``.
     """
+    held = held or Scratch()
     ends = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    stars, before = materialise(ends, "edges"), None
+    stars, before = held.write(ends, "edges"), None
     while True:
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         low = _least(large)
         small = low.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u > v").distinct()
-        stars = materialise(small, "stars")
+        last, stars = stars, held.write(small, "stars")
+        held.drop(last)
         now = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now
-    return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    roots = stars.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    out = held.write(roots, "roots")
+    held.drop(stars)
+    return out

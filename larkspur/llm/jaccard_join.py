@@ -1,10 +1,12 @@
 """N-gram Jaccard self-join: size-banded tiles, hashed bitmap signatures, exact intersection.
 
-1. Each text becomes its sorted set of shingle hashes; texts with equal sets are one class from then on.
+1. Each text becomes its sorted set of 64-bit shingle hashes (shingles are told apart by these alone); texts
+   with equal sets are one class from then on, with a number of its own.
 2. A set's prefix, its first n - ceil(t n) + 1 shingles in one common order, meets the prefix of every set
-   that it links with.  A tile holds the sets with one prefix shingle, sorted by size; within it only sets
-   of one size band (sizes in the ratio t) meet.  Rare shingles come first in the order, so tiles are small;
-   which shingles are frequent is counted over all texts, and only speed depends on that list.
+   that it links with; of the smaller set of a link the first n - ceil(2 t n / (1 + t)) + 1 do.  A tile holds
+   the sets with one prefix shingle, sorted by size; within it only sets of one size band (sizes in the ratio
+   t) meet.  Rare shingles come first in the order, so tiles are small; which shingles are frequent is
+   counted over all texts, and only speed depends on that list.
 3. Every candidate pair passes the bitmap test: with one bit per hashed shingle, the bits that only one set
    has are shingles that the other lacks, which bounds the overlap from above.
 4. What is left is intersected exactly.  A first round tests each set against its most central partner
@@ -13,7 +15,8 @@
 
 Tiles with more than ``TILE`` sets emit no pairs in the first round but a star around their most central
 set.  After it only sets of different components in such a tile still meet: in blocks of at most ``BLOCK``
-sets a side, by the bitmap test alone, of which only the pairs that pass come out.
+sets and ``BLOCK_BYTES`` of bitmaps a side, by the bitmap test alone, of which only the pairs that pass come
+out.  Whole texts move only for the pairs that are intersected.
 """
 
 from __future__ import annotations
@@ -23,10 +26,10 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, free_name, materialise, table
+from .common import Memo, Scratch, free_name, table
 from .components import components
 
-TILE, BLOCK = 16, 2048
+TILE, BLOCK, BLOCK_BYTES = 16, 2048, 1 << 25
 #: Frequent shingles that the order knows of; the rest count as rare.  Bounds what is broadcast.
 FREQUENT = 200_000
 
@@ -56,10 +59,10 @@ def shingles(text: str | None, k: int):
 
 
 def bitmap(hashes):
-    """Bits by hash, a power of two of them, at least four times the set's size and 64."""
+    """Bits by hash, a power of two of them, at least the set's size and 64."""
     import numpy as np
 
-    width = max(64, 1 << (4 * max(1, len(hashes)) - 1).bit_length())
+    width = max(64, 1 << (max(1, len(hashes)) - 1).bit_length())
     bits = np.zeros(width, np.uint8)
     bits[(hashes & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little")
@@ -87,13 +90,30 @@ def _frequent(rows: DataFrame, k: int):
     import numpy as np
     import pyarrow as pa
 
+    def summed(parts):
+        h, c = (np.concatenate(x) for x in zip(*parts, strict=True))
+        h, at = np.unique(h, return_inverse=True)
+        return h, np.bincount(at, c, len(h)).astype(np.int64)
+
     def count(batches):
+        held, size = [], 0
+
+        def close():
+            h, c = summed(held)
+            some = c >= 4
+            return pa.RecordBatch.from_arrays([pa.array(h[some].view(np.int64)), pa.array(c[some])], ["h", "c"])
+
         for batch in batches:
             sets = [shingles(t, k) for t in batch.column(0).to_pylist()]
             if sets:
                 h, c = np.unique(np.concatenate(sets), return_counts=True)
-                some = c >= 4
-                yield pa.RecordBatch.from_arrays([pa.array(h[some].view(np.int64)), pa.array(c[some].astype(np.int64))], ["h", "c"])
+                held.append((h[c > 1], c[c > 1]))
+                size += len(held[-1][0])
+            if size > 2_000_000:
+                yield close()
+                held, size = [], 0
+        if held:
+            yield close()
 
     found = rows.select("text").mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where("c >= 8").orderBy(F.desc("c"), "h").limit(FREQUENT).toArrow()
     h, c = (found.column(x).to_numpy() for x in ("h", "c"))
@@ -103,7 +123,8 @@ def _frequent(rows: DataFrame, k: int):
 
 def _signatures(rows: DataFrame, k: int, percent: int) -> DataFrame:
     """A row per row of (doc_id, t, text): the set's size, 128-bit digest (null if empty), prefix in rare
-    and frequent shingles, and bitmap.  t tells texts of one id apart."""
+    and frequent shingles (with how many of each are in the prefix as a smaller set), and bitmap.  t tells
+    texts of one id apart."""
     import numpy as np
     import pyarrow as pa
     import xxhash
@@ -118,66 +139,80 @@ def _signatures(rows: DataFrame, k: int, percent: int) -> DataFrame:
                 s = shingles(text, k)
                 n = len(s)
                 if not n:
-                    out.append((0, None, None, None, None))
+                    out.append((0, None, None, 0, None, 0, None))
                     continue
-                size = n - (-(-percent * n // 100)) + 1
+                size, inner = n + 1 + (-percent * n // 100), n + 1 + (-2 * percent * n // (100 + percent))
                 at = np.minimum(np.searchsorted(often, s), max(len(often) - 1, 0))
                 c = np.where(often[at] == s, counts[at], 0) if len(often) else np.zeros(n, np.int64)
                 first = np.lexsort((s, c))[:size]
                 many = c[first] > TILE
                 tokens = s[first].view(np.int64)
-                out.append((n, xxhash.xxh3_128_digest(s.tobytes()), tokens[~many], tokens[many], bitmap(s).tobytes()))
-            kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds))], ["doc_id", "t", "n", "node", "few", "many", "bits"])
+                inside = int(many[:inner].sum())
+                out.append((n, xxhash.xxh3_128_digest(s.tobytes()), tokens[~many], inner - inside, tokens[many], inside, bitmap(s).tobytes()))
+            kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int32(), pa.list_(pa.int64()), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds))], ["doc_id", "t", "n", "node", "few", "few_in", "many", "many_in", "bits"])
 
-    return rows.mapInArrow(sign, "doc_id long, t long, n long, node binary, few array<long>, many array<long>, bits binary")
+    return rows.mapInArrow(sign, "doc_id long, t long, n long, node binary, few array<long>, few_in int, many array<long>, many_in int, bits binary")
 
 
-def _tiles(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of the sets of each small tile that are of one size band; of a tile with more than TILE
-    sets a row (token, a, n) each."""
+def _tiles(sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of the sets of each small tile that are of one size band and may have this shingle as
+    their first common one; of a tile with more than TILE sets a row (token, a, n) each."""
+    import numpy as np
     import pyarrow as pa
 
-    def pairs(batches):
-        tile, current, large = [], None, False
-        out: list[tuple] = []
-
-        def close():
-            for i, (b, nb) in enumerate(tile):  # sorted by size
-                for a, na in tile[i - 1 :: -1] if i else ():
-                    if 100 * na < percent * nb:
-                        break
-                    out.append((None, min(a, b), None, max(a, b)))
-            tile.clear()
-
-        def batch_of():
-            made = pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.int64(), pa.binary(), pa.int64(), pa.binary()))], ["token", "a", "n", "b"])
-            out.clear()
-            return made
-
+    names = ["token", "a", "n", "b"]
+
+    def large_rows(token, s, m):
+        return pa.RecordBatch.from_arrays([pa.array(token), pa.array(s), pa.array(m >> 1), pa.nulls(len(s), pa.int64())], names)
+
+    def pairs_of(token, s, m):
+        """Of whole tiles, sorted by token and size; m is twice the size, and one more outside the inner prefix."""
+        edge = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
+        big = np.repeat(np.diff(edge) > TILE, np.diff(edge))
+        if big.any():
+            yield large_rows(token[big], s[big], m[big])
+        token, s, m = token[~big], s[~big], m[~big]
+        n, inner, found = m >> 1, m & 1 == 0, []
+        for step in range(1, TILE):
+            x = np.flatnonzero((token[step:] == token[:-step]) & (100 * n[:-step] >= percent * n[step:]) & inner[:-step])
+            if not len(x) and not (token[step:] == token[:-step]).any():
+                break
+            found.append((s[x], s[x + step]))
+        if found:
+            a, b = (np.concatenate(v) for v in zip(*found, strict=True))
+            a, b = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a), pa.nulls(len(a), pa.int64()), pa.array(b)], names)
+
+    def run(batches):
+        held, large = [np.zeros(0, np.int64)] * 3, None
         for batch in batches:
-            for token, node, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if token != current:
-                    close()
-                    current, large = token, False
-                if large:
-                    out.append((token, node, n, None))
-                else:
-                    tile.append((node, n))
-                    if len(tile) > TILE:
-                        out.extend((token, x, m, None) for x, m in tile)
-                        tile.clear()
-                        large = True
-                if len(out) >= 100_000:
-                    yield batch_of()
-        close()
-        yield batch_of()
-
-    tokens = rows.select(F.explode("few").alias("token"), "node", "n")
-    return tokens.repartition("token").sortWithinPartitions("token", "n", "node").mapInArrow(pairs, "token long, a binary, n long, b binary")
-
-
-def _bounded(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
+            rows = [batch.column(i).to_numpy() for i in range(3)]
+            if large is not None:  # the tile that was found large goes on
+                cut = int(np.searchsorted(rows[0], large, "right"))
+                if cut:
+                    yield large_rows(*(c[:cut] for c in rows))
+                    rows = [c[cut:] for c in rows]
+            rows = [np.concatenate(c) for c in zip(held, rows, strict=True)]
+            if not len(rows[0]):
+                held = rows
+                continue
+            cut = int(np.searchsorted(rows[0], rows[0][-1]))
+            if cut:
+                yield from pairs_of(*(c[:cut] for c in rows))
+            held, large = [c[cut:] for c in rows], None
+            if len(held[0]) > TILE:
+                large = held[0][0]
+                yield large_rows(*held)
+                held = [np.zeros(0, np.int64)] * 3
+        if len(held[0]):
+            yield from pairs_of(*held)
+
+    tokens = sets.select(F.posexplode("few").alias("i", "token"), "s", (2 * F.col("n") + (F.col("i") >= F.col("few_in")).cast("long")).alias("m"))
+    return tokens.select("token", "s", "m").repartition("token").sortWithinPartitions("token", "m", "s").mapInArrow(run, "token long, a long, n long, b long")
+
+
+def _bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that the bitmap test leaves."""
     import pyarrow as pa
 
@@ -187,13 +222,14 @@ def _bounded(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame
             keep = [(100 + percent) * overlap_bound(na[i], x[i], nb[i], y[i]) >= percent * (na[i] + nb[i]) for i in range(len(a))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    sides = [signatures.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("bits").alias(f"x{s}")) for s in "ab"]
+    sides = [sets.select(F.col("s").alias(s), F.col("n").alias(f"n{s}"), F.col("bits").alias(f"x{s}")) for s in "ab"]
     joined = pairs.select("a", "b").join(sides[0], "a").join(sides[1], "b").select("a", "b", "na", "nb", "xa", "xb")
-    return joined.mapInArrow(test, "a binary, b binary")
+    return joined.mapInArrow(test, "a long, b long")
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets have the similarity, by exact intersection of the sorted arrays."""
+def _linked(pairs: DataFrame, places: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets have the similarity, by exact intersection of the sorted arrays.
+    ``places`` (s, d, h), a written table of the sets in pairs, tells where in ``rows`` a text of each is."""
     import numpy as np
     import pyarrow as pa
 
@@ -206,14 +242,15 @@ def _linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
                 keep.append(100 * both >= percent * (len(s) + len(t) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    sides = [texts.select(F.col("node").alias(s), F.col("text").alias(f"t{s}")) for s in "ab"]
-    return pairs.select("a", "b").join(sides[0], "a").join(sides[1], "b").select("a", "b", "ta", "tb").mapInArrow(intersect, "a binary, b binary")
+    texts = rows.join(places, F.expr("doc_id <=> d AND t = h")).groupBy("s").agg(F.first("text").alias("text"))
+    sides = [texts.select(F.col("s").alias(s), F.col("text").alias(f"t{s}")) for s in "ab"]
+    return pairs.select("a", "b").join(sides[0], "a").join(sides[1], "b").select("a", "b", "ta", "tb").mapInArrow(intersect, "a long, b long")
 
 
 def _central_pairs(pairs: DataFrame, central: DataFrame) -> DataFrame:
     """Of pairs (a, b) that of each set with its most central partner."""
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    best = both.join(central, F.col("b") == F.col("node")).groupBy("a").agg(F.max(F.struct("c", "b")).alias("m"))
+    best = both.join(central, F.col("b") == F.col("s")).groupBy("a").agg(F.max(F.struct("c", "b")).alias("m"))
     return best.select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b")).distinct()
 
 
@@ -228,22 +265,22 @@ def _across(large: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -
     import numpy as np
     import pyarrow as pa
 
-    placed = large.alias("l").join(roots.alias("r"), F.expr("r.node = l.node"), "left").select("token", "l.node", "n", F.coalesce("r.root", "l.node").alias("root"))
-    mixed = placed.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("m")).where("x <> y").select("token", F.ceil(F.col("m") / BLOCK).cast("int").alias("k"))
-    # a block is a hash class of a tile's sets; each pair of blocks is a group
-    own = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
-    rows = placed.join(mixed, "token").join(sets.select("node", "bits"), "node").withColumn("own", own)
+    placed = large.alias("l").join(roots.alias("r"), F.expr("r.node = l.s"), "left").select("token", "s", "n", F.coalesce("r.root", "l.s").alias("root"))
+    mixed = placed.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("m"), F.sum("n").alias("size")).where("x <> y")
+    # a block is a hash class of a tile's sets; each pair of blocks is a group.  A bitmap has a quarter byte a shingle at most, but 8
+    mixed = mixed.select("token", F.ceil(F.greatest(F.col("m") / BLOCK, (F.col("size") / 4 + 8 * F.col("m")) / BLOCK_BYTES)).cast("int").alias("k"))
+    own = F.pmod(F.xxhash64("s"), F.col("k")).cast("int")
+    rows = placed.join(mixed, "token").join(sets.select("s", "bits"), "s").withColumn("own", own)
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    rows = rows.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "root", "bits")
+    rows = rows.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "s", "n", "root", "bits")
 
     def meet(group: pa.Table) -> pa.Table:
         group = group.sort_by("n")
-        node, root, bits, own = (group.column(c).to_pylist() for c in ("node", "root", "bits", "own"))
-        n = group.column("n").to_numpy()
+        node, n, root, own = (group.column(c).to_numpy() for c in ("s", "n", "root", "own"))
+        bits = group.column("bits").to_pylist()
         two = group.column("i")[0].as_py() != group.column("j")[0].as_py()
-        root, own = np.unique(np.asarray(root, object), return_inverse=True)[1], np.asarray(own)
         if root.min() == root.max():
-            return pa.table({"a": pa.array([], pa.binary()), "b": pa.array([], pa.binary())})
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         width = np.asarray([len(b) for b in bits])
         part = {int(w): (np.flatnonzero(width == w), np.stack([np.frombuffer(b, np.uint64) for b in bits if len(b) == w])) for w in np.unique(width)}
         low = np.searchsorted(100 * n, percent * n, "left")
@@ -264,12 +301,13 @@ def _across(large: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -
                 gone = np.bitwise_count(some & ~own_bits).sum(1)
                 lack = np.bitwise_count(own_bits & ~some).sum(1)
                 bound = np.minimum(n[xs] - gone, n[y] - lack)
-                for x in xs[(100 + percent) * bound >= percent * (n[xs] + n[y])]:
-                    a.append(min(node[x], node[y]))
-                    b.append(max(node[x], node[y]))
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+                near = node[xs[(100 + percent) * bound >= percent * (n[xs] + n[y])]]
+                a.append(np.minimum(near, node[y]))
+                b.append(np.maximum(near, node[y]))
+        none = [np.zeros(0, np.int64)]
+        return pa.table({"a": pa.array(np.concatenate(a or none)), "b": pa.array(np.concatenate(b or none))})
 
-    return rows.groupBy("token", "i", "j").applyInArrow(meet, "a binary, b binary").distinct()
+    return rows.groupBy("token", "i", "j").applyInArrow(meet, "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -283,39 +321,43 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
     Rows that share an id are rows of their own.  Other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("t"), F.col(text_col).alias("text"))
-    every = materialise(_signatures(rows, words, percent), "signatures")
-    full = every.where("node IS NOT NULL")
-    classes = full.groupBy("node").agg(F.min(F.struct("doc_id", "t")).alias("at"))
-    sets = full.join(classes, "node").where("doc_id <=> at.doc_id AND t = at.t").drop("at").dropDuplicates(["node"])
-    sets = materialise(sets, "sets")
-
-    tiles = materialise(_tiles(sets, percent), "tiles")
-    central = sets.select("node", (F.size("many") / (F.size("many") + F.size("few"))).alias("c"))
-    large = tiles.where("token IS NOT NULL").select("token", F.col("a").alias("node"), "n").unionByName(sets.select(F.explode("many").alias("token"), "node", "n"))
-    large = materialise(large.join(central, "node"), "large-tiles")
-    centres = large.groupBy("token").agg(F.max(F.struct("c", "node", "n")).alias("m"))
-    stars = large.join(centres, "token").where(f"node <> m.node AND 100 * least(n, m.n) >= {percent} * greatest(n, m.n)").select(F.least("m.node", "node").alias("a"), F.greatest("m.node", "node").alias("b"))
+    held = Scratch()
+    every = held.write(_signatures(rows, words, percent), "signatures")
+    one = every.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "t", "n", "few", "few_in", "many", "many_in", "bits")).alias("m"))
+    sets = held.write(one.select(F.monotonically_increasing_id().alias("s"), "node", "m.*"), "sets")
+    where = lambda pairs: held.write(sets.join(pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct(), "s").select("s", F.col("doc_id").alias("d"), F.col("t").alias("h")), "places")
+
+    tiles = held.write(_tiles(sets, percent), "tiles")
+    central = sets.select("s", (F.size("many") / (F.size("many") + F.size("few"))).alias("c"))
+    large = tiles.where("token IS NOT NULL").select("token", F.col("a").alias("s"), "n").unionByName(sets.select(F.explode("many").alias("token"), "s", "n"))
+    large = held.write(large.join(central, "s"), "large-tiles")
+    centres = large.groupBy("token").agg(F.max(F.struct("c", "s", "n")).alias("m"))
+    stars = large.join(centres, "token").where(f"s <> m.s AND 100 * least(n, m.n) >= {percent} * greatest(n, m.n)").select(F.least("m.s", "s").alias("a"), F.greatest("m.s", "s").alias("b"))
     pairs = tiles.where("token IS NULL").select("a", "b").unionByName(stars).distinct()
-    close = materialise(_bounded(pairs, sets, percent), "close")
-
-    # texts of all sets that may still be tested, once
-    ids = close.select(F.col("a").alias("node")).unionByName(close.select(F.col("b").alias("node"))).unionByName(large.select("node")).distinct()
-    ids = sets.join(ids, "node").select("node", F.col("doc_id").alias("d"), F.col("t").alias("h"))
-    texts = materialise(rows.join(ids, F.expr("doc_id <=> d AND t = h")).select("node", "text").dropDuplicates(["node"]), "near-texts")
+    close = held.write(_bounded(pairs, sets, percent), "close")
+    held.drop(tiles)
 
     # rounds: each set with its most central partner that it is not connected with, then whatever is left
-    tested = _central_pairs(close, central)
-    links = materialise(_linked(tested, texts, words, percent), "links")
-    roots = materialise(components(links), "roots")
+    tested = held.write(_central_pairs(close, central), "tested")
+    places = where(tested)
+    links = held.write(_linked(tested, places, rows, words, percent), "links")
+    roots = components(links, held)
     across = _across(large, roots, sets, percent)
-    left = materialise(_apart(close, roots).join(tested, ["a", "b"], "left_anti").unionByName(across).distinct(), "apart")
-    second = _central_pairs(left, central)
-    links = links.unionByName(materialise(_linked(second, texts, words, percent), "links"))
-    roots = materialise(components(links), "roots")
+    left = held.write(_apart(close, roots).join(tested, ["a", "b"], "left_anti").unionByName(across).distinct(), "apart")
+    held.drop(places, tested, close, large)
+    second = held.write(_central_pairs(left, central), "tested")
+    places = where(left)
+    more = held.write(_linked(second, places, rows, words, percent), "links")
+    held.drop(roots)
+    roots = components(links.unionByName(more), held)
     third = _apart(left.join(second, ["a", "b"], "left_anti"), roots)
-    final = components(links.unionByName(_linked(third, texts, words, percent)))
+    rest = held.write(_linked(third, places, rows, words, percent), "links")
+    held.drop(places, second, left, roots)
+    final = components(links.unionByName(more).unionByName(rest), held)
+    classes = held.write(sets.select("s", "node").join(final.withColumnRenamed("node", "s"), "s", "left").select("node", F.coalesce("root", "s").alias("root")), "classes")
+    held.drop(links, more, rest, final, sets)
 
-    placed = every.select("doc_id", "n", "node").alias("e").join(final.alias("f"), F.expr("f.node = e.node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("f.root", "e.node").alias("root"))
+    placed = every.select("doc_id", F.col("n").alias("n_shingles"), "node").join(classes, "node", "left").select("doc_id", "n_shingles", "root")
     smallest = placed.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
     return placed.join(smallest, "root", "left").select("doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
@@ -329,4 +371,5 @@ def drop_near_copies(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of all documents, at four words and 85 percent."""
     return jaccard_components(table(spark, sf_dir, "documents"))
