@@ -7,7 +7,6 @@ three leaves, each in logarithmic time, and merging ends when the root holds no
 
 from __future__ import annotations
 
-from functools import lru_cache
 from hashlib import sha256
 from itertools import pairwise
 
@@ -71,11 +70,11 @@ class Codec:
     """Encodes and decodes whole texts under one vocabulary, remembering pieces that recur."""
 
     def __init__(self, vocab: Vocabulary):
-        if not vocab.drops_space:
-            raise ValueError("this codec splits texts at spaces, which the vocabulary must drop")
+        if vocab.rules != "words":
+            raise ValueError("this codec splits texts at spaces, which the vocabulary must drop, by rules it must know")
         self.vocab = vocab
-        self.units = Memo(self._unit, 150_000)
-        self.plain = Memo(lambda part: self._entry(self._merged(vocab.letters(part))), 200_000)
+        self.units = Memo(self._unit, 100_000)
+        self.plain = Memo(lambda part: self._entry(self._merged(vocab.letters(part))), 100_000)
 
     def _merged(self, letters: str) -> list[int]:
         vocab = self.vocab
@@ -115,11 +114,6 @@ class Codec:
         return sum(x[0] for x in found), " ".join([x[1] for x in found]), " ".join([x[2] for x in found])
 
 
-@lru_cache(maxsize=2)
-def codec(path: str) -> Codec:
-    return Codec(vocabulary(path))
-
-
 def encode_documents(docs: DataFrame, vocabulary_file: str = "word_bpe_49k.json", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_tokens, ids`` for each row of ``docs``, without a shuffle.
 
@@ -131,7 +125,7 @@ def encode_documents(docs: DataFrame, vocabulary_file: str = "word_bpe_49k.json"
     path = vocabulary_path(vocabulary_file)
 
     def encode(batches):
-        own = codec(path)
+        own = Codec(vocabulary(path))  # its memo tables end with the task
         for batch in batches:
             ids = [own.encode(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "n_tokens", "ids"])
@@ -147,7 +141,7 @@ def decode_ids(encoded: DataFrame, vocabulary_file: str = "word_bpe_49k.json") -
     path = vocabulary_path(vocabulary_file)
 
     def decode(batches):
-        own = codec(path)
+        own = Codec(vocabulary(path))  # its memo tables end with the task
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.decode(x or []) for x in batch.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
 
@@ -163,7 +157,7 @@ def encoded_digests(docs: DataFrame, vocabulary_file: str = "word_bpe_49k.json",
     path = vocabulary_path(vocabulary_file)
 
     def digest(batches):
-        own = codec(path)
+        own = Codec(vocabulary(path))  # its memo tables end with the task
         for batch in batches:
             counts, ids, decoded = [], [], []
             for text in batch.column(1).to_pylist():
@@ -178,4 +172,5 @@ def encoded_digests(docs: DataFrame, vocabulary_file: str = "word_bpe_49k.json",
 
 
 def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of all documents."""
     return encoded_digests(table(spark, sf_dir, "documents"))

@@ -15,6 +15,10 @@ def _least(pairs: DataFrame) -> DataFrame:
     return pairs.join(least, "u").select("u", "v", F.least("u", "m").alias("m"))
 
 
+def _digest(pairs: DataFrame):
+    return pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+
+
 def components(edges: DataFrame, held: Scratch | None = None) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b): root is the smallest node that it reaches.
 
@@ -24,7 +28,8 @@ def components(edges: DataFrame, held: Scratch | None = None) -> DataFrame:
     """
     held = held or Scratch()
     ends = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    stars, before = held.write(ends, "edges"), None
+    stars = held.write(ends, "edges")
+    before = _digest(stars)
     while True:
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
@@ -32,8 +37,7 @@ def components(edges: DataFrame, held: Scratch | None = None) -> DataFrame:
         small = low.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u > v").distinct()
         last, stars = stars, held.write(small, "stars")
         held.drop(last)
-        now = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
+        if (now := _digest(stars)) == before:
             break
         before = now
     roots = stars.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -21,12 +21,10 @@ out.  Whole texts move only for the pairs that are intersected.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, Scratch, free_name, table
+from .common import Scratch, free_name, table
 from .components import components
 
 TILE, BLOCK, BLOCK_BYTES = 16, 2048, 1 << 25
@@ -34,21 +32,15 @@ TILE, BLOCK, BLOCK_BYTES = 16, 2048, 1 << 25
 FREQUENT = 200_000
 
 
-@lru_cache(maxsize=1)
-def _word_hash() -> Memo:
-    import xxhash
-
-    return Memo(xxhash.xxh64_intdigest)
-
-
 def shingles(text: str | None, k: int):
     """Sorted distinct 64-bit hashes of the k-word runs of a text; of all its words if they are fewer."""
     import numpy as np
+    import xxhash
 
     found = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not found:
         return np.zeros(0, np.uint64)
-    w = np.fromiter(map(_word_hash().__getitem__, found), np.uint64, len(found))
+    w = np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))
     k = min(k, len(w))
     n = len(w) - k + 1
     h = np.full(n, (k * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF, np.uint64)
@@ -59,10 +51,10 @@ def shingles(text: str | None, k: int):
 
 
 def bitmap(hashes):
-    """Bits by hash, a power of two of them, at least the set's size and 64."""
+    """Bits by hash, a power of two of them, at least four times the set's size and 64."""
     import numpy as np
 
-    width = max(64, 1 << (max(1, len(hashes)) - 1).bit_length())
+    width = max(64, 1 << (4 * max(1, len(hashes)) - 1).bit_length())
     bits = np.zeros(width, np.uint8)
     bits[(hashes & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little")
@@ -167,7 +159,7 @@ def _tiles(sets: DataFrame, percent: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(token), pa.array(s), pa.array(m >> 1), pa.nulls(len(s), pa.int64())], names)
 
     def pairs_of(token, s, m):
-        """Of whole tiles, sorted by token and size; m is twice the size, and one more outside the inner prefix."""
+        """Of whole tiles, sorted by token and size."""
         edge = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
         big = np.repeat(np.diff(edge) > TILE, np.diff(edge))
         if big.any():
@@ -208,8 +200,13 @@ def _tiles(sets: DataFrame, percent: int) -> DataFrame:
         if len(held[0]):
             yield from pairs_of(*held)
 
-    tokens = sets.select(F.posexplode("few").alias("i", "token"), "s", (2 * F.col("n") + (F.col("i") >= F.col("few_in")).cast("long")).alias("m"))
-    return tokens.select("token", "s", "m").repartition("token").sortWithinPartitions("token", "m", "s").mapInArrow(run, "token long, a long, n long, b long")
+    return _prefix(sets, "few").repartition("token").sortWithinPartitions("token", "m", "s").mapInArrow(run, "token long, a long, m long, b long")
+
+
+def _prefix(sets: DataFrame, kind: str) -> DataFrame:
+    """(token, s, m) of the rare ("few") or frequent ("many") prefix shingles; m as in ``_tiles``."""
+    tokens = sets.select(F.posexplode(kind).alias("i", "token"), "s", "n", f"{kind}_in")
+    return tokens.select("token", "s", (2 * F.col("n") + (F.col("i") >= F.col(f"{kind}_in")).cast("long")).alias("m"))
 
 
 def _bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -265,25 +262,27 @@ def _across(large: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -
     import numpy as np
     import pyarrow as pa
 
-    placed = large.alias("l").join(roots.alias("r"), F.expr("r.node = l.s"), "left").select("token", "s", "n", F.coalesce("r.root", "l.s").alias("root"))
-    mixed = placed.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("m"), F.sum("n").alias("size")).where("x <> y")
-    # a block is a hash class of a tile's sets; each pair of blocks is a group.  A bitmap has a quarter byte a shingle at most, but 8
-    mixed = mixed.select("token", F.ceil(F.greatest(F.col("m") / BLOCK, (F.col("size") / 4 + 8 * F.col("m")) / BLOCK_BYTES)).cast("int").alias("k"))
+    placed = large.alias("l").join(roots.alias("r"), F.expr("r.node = l.s"), "left").select("token", "s", "m", F.coalesce("r.root", "l.s").alias("root"))
+    sizes = placed.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("c"), F.sum(F.shiftright("m", 1)).alias("size"), F.bool_or(F.col("m") % 2 == 0).alias("inner"))
+    mixed = sizes.where("x <> y AND inner")
+    # a block is a hash class of a tile's sets; each pair of blocks is a group.  A bitmap has a byte a shingle at most, but 8
+    mixed = mixed.select("token", F.ceil(F.greatest(F.col("c") / BLOCK, (F.col("size") + 8 * F.col("c")) / BLOCK_BYTES)).cast("int").alias("k"))
     own = F.pmod(F.xxhash64("s"), F.col("k")).cast("int")
     rows = placed.join(mixed, "token").join(sets.select("s", "bits"), "s").withColumn("own", own)
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    rows = rows.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "s", "n", "root", "bits")
+    rows = rows.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "s", "m", "root", "bits")
 
     def meet(group: pa.Table) -> pa.Table:
-        group = group.sort_by("n")
-        node, n, root, own = (group.column(c).to_numpy() for c in ("s", "n", "root", "own"))
+        group = group.sort_by([("m", "ascending"), ("s", "ascending")])
+        node, m, root, own = (group.column(c).to_numpy() for c in ("s", "m", "root", "own"))
+        n, inner = m >> 1, m & 1 == 0
         bits = group.column("bits").to_pylist()
         two = group.column("i")[0].as_py() != group.column("j")[0].as_py()
         if root.min() == root.max():
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         width = np.asarray([len(b) for b in bits])
         part = {int(w): (np.flatnonzero(width == w), np.stack([np.frombuffer(b, np.uint64) for b in bits if len(b) == w])) for w in np.unique(width)}
-        low = np.searchsorted(100 * n, percent * n, "left")
+        low = np.searchsorted(100 * n, percent * n, "left")  # n ascends with m
         a, b = [], []
         for y in range(len(node)):
             mine = _folded(np.frombuffer(bits[y], np.uint8), len(bits[y]))
@@ -292,7 +291,7 @@ def _across(large: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -
                     continue
                 s, e = np.searchsorted(at, (low[y], y))
                 xs = at[s:e]
-                far = root[xs] != root[y]
+                far = inner[xs] & (root[xs] != root[y])
                 if two:
                     far &= own[xs] != own[y]
                 if not far.any():
@@ -329,10 +328,10 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
 
     tiles = held.write(_tiles(sets, percent), "tiles")
     central = sets.select("s", (F.size("many") / (F.size("many") + F.size("few"))).alias("c"))
-    large = tiles.where("token IS NOT NULL").select("token", F.col("a").alias("s"), "n").unionByName(sets.select(F.explode("many").alias("token"), "s", "n"))
-    large = held.write(large.join(central, "s"), "large-tiles")
-    centres = large.groupBy("token").agg(F.max(F.struct("c", "s", "n")).alias("m"))
-    stars = large.join(centres, "token").where(f"s <> m.s AND 100 * least(n, m.n) >= {percent} * greatest(n, m.n)").select(F.least("m.s", "s").alias("a"), F.greatest("m.s", "s").alias("b"))
+    large = tiles.where("token IS NOT NULL").select("token", F.col("a").alias("s"), "m").unionByName(_prefix(sets, "many"))
+    large = held.write(large.join(central, "s").withColumn("n", F.shiftright("m", 1)), "large-tiles")
+    centres = large.groupBy("token").agg(F.max(F.struct("c", "s", "n")).alias("x"))
+    stars = large.join(centres, "token").where(f"s <> x.s AND 100 * least(n, x.n) >= {percent} * greatest(n, x.n)").select(F.least("x.s", "s").alias("a"), F.greatest("x.s", "s").alias("b"))
     pairs = tiles.where("token IS NULL").select("a", "b").unionByName(stars).distinct()
     close = held.write(_bounded(pairs, sets, percent), "close")
     held.drop(tiles)
@@ -348,14 +347,13 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
     second = held.write(_central_pairs(left, central), "tested")
     places = where(left)
     more = held.write(_linked(second, places, rows, words, percent), "links")
-    held.drop(roots)
-    roots = components(links.unionByName(more), held)
+    stars, before = lambda r: r.select(F.col("node").alias("a"), F.col("root").alias("b")), roots
+    roots = components(stars(before).unionByName(more), held)
     third = _apart(left.join(second, ["a", "b"], "left_anti"), roots)
     rest = held.write(_linked(third, places, rows, words, percent), "links")
-    held.drop(places, second, left, roots)
-    final = components(links.unionByName(more).unionByName(rest), held)
+    final = components(stars(roots).unionByName(rest), held)
     classes = held.write(sets.select("s", "node").join(final.withColumnRenamed("node", "s"), "s", "left").select("node", F.coalesce("root", "s").alias("root")), "classes")
-    held.drop(links, more, rest, final, sets)
+    held.drop(links, more, rest, before, roots, final, places, second, left, sets)
 
     placed = every.select("doc_id", F.col("n").alias("n_shingles"), "node").join(classes, "node", "left").select("doc_id", "n_shingles", "root")
     smallest = placed.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))

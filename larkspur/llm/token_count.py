@@ -7,7 +7,6 @@ initial symbols minus merges: no identifiers are looked up or emitted.
 
 from __future__ import annotations
 
-from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,10 +46,12 @@ class TokenCounter:
     """Token counts of whole texts under one vocabulary, remembering pieces that recur."""
 
     def __init__(self, vocab: Vocabulary):
+        if vocab.rules != "bytes":
+            raise ValueError("this counter cuts texts at spaces, which the vocabulary's rules must allow")
         self.vocab = vocab
-        self.pre_tokens = Memo(lambda p: merged_count(vocab.symbols(p), vocab.ranks))
-        self.heads = Memo(self._unit)
-        self.spaced = Memo(lambda unit: self._unit(" " + unit))
+        self.pre_tokens = Memo(lambda p: merged_count(vocab.symbols(p), vocab.ranks), 200_000)
+        self.heads = Memo(self._unit, 50_000)
+        self.spaced = Memo(lambda unit: self._unit(" " + unit), 200_000)
 
     def _unit(self, unit: str) -> int:
         return sum(1 if token else self.pre_tokens[p] for token, p in self.vocab.pieces(unit))
@@ -64,11 +65,6 @@ class TokenCounter:
         return self.heads[first] + sum(map(self.spaced.__getitem__, rest))
 
 
-@lru_cache(maxsize=2)
-def counter(path: str) -> TokenCounter:
-    return TokenCounter(vocabulary(path))
-
-
 def token_counts(docs: DataFrame, vocabulary_file: str = "byte_bpe_50k.json", limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` for each row of ``docs``, without a shuffle.
 
@@ -80,7 +76,7 @@ def token_counts(docs: DataFrame, vocabulary_file: str = "byte_bpe_50k.json", li
     path = vocabulary_path(vocabulary_file)
 
     def count(batches):
-        own = counter(path)
+        own = TokenCounter(vocabulary(path))  # its memo tables end with the task
         for batch in batches:
             tokens = [own.count(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tokens, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
@@ -92,4 +88,5 @@ def token_counts(docs: DataFrame, vocabulary_file: str = "byte_bpe_50k.json", li
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, n_bytes, n_tokens, over_limit`` of all documents."""
     return token_counts(table(spark, sf_dir, "documents"))
