@@ -149,14 +149,15 @@ def _signatures(rows: DataFrame, k: int, percent: int) -> DataFrame:
 
 def _tiles(sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of the sets of each small tile that are of one size band and may have this shingle as
-    their first common one; of a tile with more than TILE sets a row (token, a, n) each."""
+    their first common one; of a tile with more than TILE sets a row (token, a, m) each: m is twice the size, and one more where the shingle is not in the
+    prefix that the set has as a smaller one."""
     import numpy as np
     import pyarrow as pa
 
-    names = ["token", "a", "n", "b"]
+    names = ["token", "a", "m", "b"]
 
     def large_rows(token, s, m):
-        return pa.RecordBatch.from_arrays([pa.array(token), pa.array(s), pa.array(m >> 1), pa.nulls(len(s), pa.int64())], names)
+        return pa.RecordBatch.from_arrays([pa.array(token), pa.array(s), pa.array(m), pa.nulls(len(s), pa.int64())], names)
 
     def pairs_of(token, s, m):
         """Of whole tiles, sorted by token and size."""
