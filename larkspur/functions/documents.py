@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import split_lines, stripped
+
 # --- fixed values: menu words ------------------------------------------------------------------------
 SECTION_WORDS = (
     "appetizer", "appetizers", "starter", "starters", "entree", "entrees", "entrée", "mains", "main course", "sides", "side dishes", "salad", "salads", "soup", "soups", "dessert", "desserts",
@@ -43,7 +45,7 @@ def menu_signals(text: Column, food: tuple[str, ...] = FOOD_WORDS, sections: tup
     """The counts that the score is made of.  ``low``: a column of the lower-case text, which each word
     list is looked up in; without it every look-up lowers the text."""
     low = F.lower(text) if low is None else low
-    lines = F.filter(F.transform(F.split(text, r"\r\n|[\n\r]"), lambda x: F.trim(x)), lambda x: x != "")
+    lines = F.filter(F.transform(split_lines(text), stripped), lambda x: x != "")
     return {
         "prices": (F.regexp_count(text, F.lit(PRICE)) + F.regexp_count(text, F.lit(TRAILING_PRICE))).cast("int"),
         "food": substring_hits(low, food),

@@ -120,8 +120,25 @@ def evidence_split(c: Column) -> Column:
     return F.struct(F.when(at > 0, F.substr(c, F.lit(1), at - 1)).otherwise(c).alias("reasoning"), F.when(at > 0, F.regexp_replace(F.substr(c, at + len(mark)), r'"$', "")).alias("evidence"))
 
 
+#: White space as texts of web pages hold it: Unicode's, and the information separators.
+WHITE = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+_WHITE_RUN = r"[\s\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"
+_LINE_END = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"
+
+
+def stripped(c: Column) -> Column:
+    """Without white space at either end."""
+    return F.btrim(c, F.lit(WHITE))
+
+
 def squeezed(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+    """Runs of white space as one space, none at either end."""
+    return F.trim(F.regexp_replace(c, _WHITE_RUN, " "))
+
+
+def split_lines(c: Column) -> Column:
+    """The lines of a text, at any line end."""
+    return F.split(c, _LINE_END)
 
 
 def menu_hash(c: Column) -> Column:
@@ -160,8 +177,9 @@ def url_normal(c: Column) -> Column:
 
 
 def url_tokens(c: Column) -> Column:
-    """Lower-case letter and digit runs of path, query and fragment, decoded."""
-    rest = F.regexp_replace(c, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*", "")
+    """Lower-case letter and digit runs of path, query and fragment, decoded; the mark of structured menus,
+    which is no part of the address, does not count."""
+    rest = F.regexp_replace(F.regexp_replace(c, r"#structured-menu$", ""), r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*", "")
     return F.filter(F.split(F.lower(F.coalesce(F.try_url_decode(rest), rest)), r"[^0-9a-z]+"), lambda t: t != "")
 
 
@@ -210,3 +228,58 @@ def same_brand(a: Column, b: Column) -> Column:
     differ = F.filter(F.transform(pairs, lambda p, i: F.when(~p.x.eqNullSafe(p.y), i + 1)), lambda i: i.isNotNull())
     shared = F.slice(x, 1, F.coalesce(F.get(differ, F.lit(0)) - 1, F.size(x)))
     return F.exists(shared, lambda t: ~t.isin("the", "cafe", "café", "el", "la", "los", "las", "orlando"))
+
+
+def shared_items(a: Column, b: Column) -> Column:
+    """How many distinct items two arrays share."""
+    return F.size(F.array_intersect(a, b))
+
+
+def holds_all(a: Column, b: Column) -> Column:
+    """Whether an array holds every item of another."""
+    return F.size(F.array_except(b, a)) == 0
+
+
+#: The words that may end a menu page's path in place of a part of the day.
+DAYPARTS = ("dinner", "lunch", "brunch", "breakfast", "happy-hour", "wine", "dessert", "desserts", "drinks")
+
+
+def url_path(c: Column) -> Column:
+    """The path of an address, without query, fragment and final slashes."""
+    return F.regexp_replace(F.regexp_extract(c, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1), r"/+$", "")
+
+
+def daypart_segment(c: Column) -> Column:
+    """The last path segment in lower case if it names a part of the day, else null."""
+    last = F.lower(F.substring_index(url_path(c), "/", -1))
+    return F.when(last.isin(*DAYPARTS), last)
+
+
+def sibling_slug(c: Column, sections: tuple[str, ...]) -> Column:
+    """struct(parent, prefix) of a path that ends in a word before "menu" or "menus" that is no section;
+    null for any other."""
+    path = url_path(c)
+    slug = F.lower(F.substring_index(path, "/", -1))
+    prefix = F.btrim(F.regexp_replace(slug, r"menus?$", ""), F.lit("-_"))
+    hit = path.contains("/") & slug.rlike(r".menus?$") & (prefix != "") & ~prefix.isin(*sections)
+    return F.when(hit, F.struct(F.regexp_replace(path, r"/[^/]*$", "").alias("parent"), prefix.alias("prefix")))
+
+
+def catalogue_price(c: Column) -> Column:
+    """The price text of a JSON object with low, high, regular and plain prices; any other text as it is."""
+    get = lambda k: F.nullif(F.get_json_object(c, f"$.{k}"), F.lit(""))
+    low, high = get("low_formatted"), get("high_formatted")
+    one = F.coalesce(high, low, get("regular_formatted"), get("formatted"), F.lit(""))
+    both = F.when(low.isNotNull() & high.isNotNull() & (low != high), F.concat(low, F.lit(" - "), high)).otherwise(stripped(one))
+    return F.when(F.coalesce(c, F.lit("")).rlike(r"^\s*\{"), both).otherwise(stripped(F.coalesce(c, F.lit(""))))
+
+
+def listed_addresses(c: Column) -> Column:
+    """The texts of a JSON list, stripped, distinct, in order, without empty ones; else an empty array."""
+    return F.array_distinct(F.filter(F.transform(json_list(c), stripped), lambda x: x.isNotNull() & (x != "")))
+
+
+def json_unescaped(c: Column) -> Column:
+    """The text that a JSON string holds between its quotes; of what is no JSON the quotes and backslashes."""
+    read = F.get_json_object(F.concat(F.lit('{"v":"'), c, F.lit('"}')), "$.v")
+    return F.coalesce(read, F.replace(F.replace(c, F.lit('\\"'), F.lit('"')), F.lit("\\\\"), F.lit("\\")))

@@ -97,6 +97,8 @@ def _is_place(span: Column, place: Column) -> Column:
 SECTION_WORDS = (
     "menu", "menus", "food", "dinner", "lunch", "brunch", "breakfast", "dessert", "desserts", "drink", "drinks", "cocktail", "cocktails", "wine", "wines", "beer", "beers", "bar", "kids", "catering",
     "happy", "hour", "specials", "special", "daily", "weekend", "seasonal", "holiday", "evening", "late", "night", "takeout", "delivery",
+    "appetizers", "apps", "starters", "entrees", "mains", "sides", "salads", "soups", "sandwiches", "burgers", "tacos", "pizza", "pizzas", "sushi", "snacks", "bites", "small", "plates", "bakery",
+    "pastry", "pastries", "cake", "cakes", "coffee", "tea", "vegan", "vegetarian", "gluten", "restaurants", "cafe", "order", "online",
 )
 # --------------------------------------------------------------------------------------------------------------
 

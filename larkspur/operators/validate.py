@@ -46,6 +46,11 @@ ENUMS = {
     "sesame_status": ("contains", "free", "unclear"),
     "spice_level": ("none", "mild", "medium", "hot", "unclear"),
     "cooking_method": ("fried", "grilled", "baked", "roasted", "raw", "steamed", "boiled_simmered", "sauteed", "stir_fry", "mixed", "unclear"),
+    "dish_format": (
+        "bowl", "poke", "sushi", "ramen", "pho", "noodle_dish", "pasta", "pizza", "flatbread", "sandwich", "wrap", "burrito", "taco", "quesadilla", "nachos", "burger", "hot_dog", "gyro", "kebab",
+        "dumpling", "empanada", "spring_roll", "curry", "stir_fry", "fried_rice", "rice_dish", "soup", "stew", "chili", "salad", "small_plate", "plate", "breakfast_plate", "omelet",
+        "pancake_waffle", "baked_good", "pastry", "dessert", "drink", "other",
+    ),
 }
 # -------------------------------------------------------------------------------------------------------------
 
