@@ -34,7 +34,7 @@ def test_dish_formats_are_checked():
 
 
 def test_probes_requests_and_samples(spark):
-    pages = spark.createDataFrame([(1, "https://www.a.example/menu/", 0), (1, "http://a.example/menu/Wine", 1), (2, None, 2), (3, "https://b.example/about", 3)], "r long, url string, o long")
+    pages = spark.createDataFrame([(1, "https://www.a.example/menu/", 0), (1, "http://a.example/menu/wine", 1), (2, None, 2), (3, "https://b.example/about", 3)], "r long, url string, o long")
     got = [r.url for r in daypart_probes(pages, "r", "url", "o").orderBy("place").collect()]
     assert got == ["http://a.example/menu/" + w for w in ("dinner", "lunch", "brunch", "breakfast", "happy-hour", "wine", "dessert", "desserts", "drinks") if w != "wine"]
     rows = spark.createDataFrame([([1], None), ([], None), (None, 0), (None, None), ([1, None], 3)], "ids array<long>, days int")
