@@ -283,4 +283,22 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, max_span:
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` of all documents against all items."""
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: The same by plain means: all windows of all texts.
+OP3_SQL = rf"""
+WITH w AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM (SELECT doc_id, regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents)),
+t AS (SELECT DISTINCT coalesce(CAST(item_id AS VARCHAR), 'null') AS item, regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+k AS (SELECT item, unnest(list_transform(range(1, len(w) - 8), lambda i: array_to_string(w[i:i + 9], ' '))) AS k, 10 AS n FROM t WHERE len(w) >= 10
+  UNION SELECT item, array_to_string(w, ' '), len(w) FROM t WHERE len(w) BETWEEN 1 AND 9),
+d AS (SELECT doc_id, i, list(word) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS l FROM w),
+h AS (SELECT DISTINCT doc_id, i, k.n, item FROM d, (SELECT DISTINCT n FROM k) s JOIN k ON k.n = s.n WHERE len(l) >= k.n AND array_to_string(l[1:k.n], ' ') = k.k),
+m AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS p FROM h) GROUP BY doc_id),
+e AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id),
+c AS (SELECT doc_id, count(*) AS n_words FROM w GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM documents LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id) LEFT JOIN e USING (doc_id)
+"""

@@ -372,3 +372,17 @@ def drop_near_copies(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of all documents, at four words and 85 percent."""
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+#: The same by plain means: shingles themselves, all pairs that share one, and all that each document reaches.
+OP6_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i, len(w) AS n FROM (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents)),
+g AS (SELECT doc_id, n, list(word) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS l, i FROM w),
+s AS (SELECT DISTINCT doc_id, array_to_string(l, ' ') AS k FROM g WHERE len(l) = least(n, 4) AND (n >= 4 OR i = 0)),
+c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM s a JOIN s b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM p JOIN c a ON a.doc_id = x JOIN c b ON b.doc_id = y WHERE 100 * p.n >= 85 * (a.n + b.n - p.n)),
+r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, z.y FROM r JOIN (SELECT x, y FROM e UNION SELECT y, x FROM e) z ON z.x = r.y)
+SELECT d.doc_id, coalesce(c.n, 0) AS n_shingles, q.least AS component_id FROM documents d LEFT JOIN c USING (doc_id) JOIN (SELECT x, min(y) AS least FROM r GROUP BY x) q ON q.x = d.doc_id
+"""

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from .bpe_codec import op8_bpe_codec
-from .decontaminate import op3_decontamination
-from .jaccard_join import op6_jaccard_join
+from .decontaminate import OP3_SQL, op3_decontamination
+from .jaccard_join import OP6_SQL, op6_jaccard_join
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .repetition import op4_repetition
-from .suffix_dedup import op9_suffix_dedup
+from .suffix_dedup import OP9_SQL, op9_suffix_dedup
 from .token_count import op7_token_counts
 from .token_files import op1_token_files
 from .toxicity import op5_toxicity
@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL, "op10_line_dedup": OP10_SQL}
+    return {"op2_warc": OP2_SQL, "op3_decontamination": OP3_SQL, "op6_jaccard_join": OP6_SQL, "op9_suffix_dedup": OP9_SQL, "op10_line_dedup": OP10_SQL}
