@@ -30,6 +30,8 @@ from .components import components
 TILE, BLOCK, BLOCK_BYTES = 16, 2048, 1 << 25
 #: Frequent shingles that the order knows of; the rest count as rare.  Bounds what is broadcast.
 FREQUENT = 200_000
+#: Texts of at most so many sets are looked up by a broadcast of their places, 24 bytes each; more meet in a shuffle.
+PLACES = 500_000
 
 
 def shingles(text: str | None, k: int):
@@ -240,6 +242,7 @@ def _linked(pairs: DataFrame, places: DataFrame, rows: DataFrame, k: int, percen
                 keep.append(100 * both >= percent * (len(s) + len(t) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    places = F.broadcast(places) if places.count() <= PLACES else places
     texts = rows.join(places, F.expr("doc_id <=> d AND t = h")).groupBy("s").agg(F.first("text").alias("text"))
     sides = [texts.select(F.col("s").alias(s), F.col("text").alias(f"t{s}")) for s in "ab"]
     return pairs.select("a", "b").join(sides[0], "a").join(sides[1], "b").select("a", "b", "ta", "tb").mapInArrow(intersect, "a long, b long")
