@@ -33,6 +33,7 @@ COLUMNS = {
     "op5_toxicity": ["doc_id", "held_out", "score", "predicted"],
     "op7_token_counts": ["doc_id", "n_bytes", "n_tokens", "over_limit"],
     "op8_bpe_codec": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+    "op12_sharding": ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"],
 }
 
 
