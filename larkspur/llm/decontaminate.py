@@ -9,6 +9,7 @@ characters; bytes do as well as characters here, as all bytes of a non-ASCII cha
 
 from __future__ import annotations
 
+import json
 import re
 from functools import lru_cache
 from hashlib import sha256
@@ -16,13 +17,14 @@ from hashlib import sha256
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import Files, new_path, table
 
 _TO_WORDS = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b > 0x7F else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
-#: Items go to the executors in blocks of at most so many words (a longer item is a block of its own).
-BLOCK_WORDS = 100_000
+#: Items are in blocks of at most so many words (a longer item is a block of its own); a worker keeps the automata
+#: of so many blocks, and where there are more, takes so many bytes of rows past each.
+BLOCK_WORDS, KEPT, BUFFER = 100_000, 2, 32 << 20
 
 
 def words(text: str | None) -> list[bytes]:
@@ -143,61 +145,66 @@ class Automaton:
         return spans, found.union(*(items[s] for s in states))
 
 
-@lru_cache(maxsize=4)
-def _automaton(items: tuple, window: int) -> Automaton:
-    return Automaton(list(items), window)
+@lru_cache(maxsize=KEPT)
+def _automaton(root: str, k: int, window: int) -> Automaton:
+    with Files(root).open(f"{k}.json") as f:
+        return Automaton([tuple(item) for item in json.loads(f.read())], window)
 
 
-def _blocks(items: DataFrame, id_col: str, text_col: str, block_words: int):
-    """Items as tuples of (id as text, text), streamed to the driver a block at a time."""
-    block, size = [], 0
-    for row in items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col(text_col)).toLocalIterator():
+def _write_blocks(items: DataFrame, id_col: str, text_col: str, block_words: int) -> tuple[str, int]:
+    """(folder, number) of block files of [id as text, text] pairs below the shared folder.  Items stream
+    through the driver, which holds one block."""
+    root, block, size, k = new_path(items.sparkSession, "items"), [], 0, 0
+    files = Files(root)
+    for row in items.select(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null")), F.col(f"`{text_col}`")).toLocalIterator():
         n = len(words(row[1]))
         if n and block and size + n > block_words:
-            yield tuple(block)
-            block, size = [], 0
+            files.write(f"{k}.json", [json.dumps(block).encode()])
+            block, size, k = [], 0, k + 1
         if n:
             block.append((row[0], row[1]))
             size += n
-    yield tuple(block)
-
-
-def _matched(docs: DataFrame, items: DataFrame, window: int, finish, schema: str, columns: list[str], item_id: str, item_text: str, block_words: int) -> DataFrame:
+    if block:
+        files.write(f"{k}.json", [json.dumps(block).encode()])
+        k += 1
+    return root, k
+
+
+def _buffered(batches, least: int):
+    """Lists of batches of at least so many bytes together."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= least:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _matched(docs: DataFrame, items: DataFrame, window: int, finish, schema: str, item_id: str, item_text: str, block_words: int) -> DataFrame:
     """``docs`` (whose last column is the text) past the automaton of every block, then ``finish`` over
-    (the other columns' values, text, words, spans, items) of each row.  Blocks follow each other in one
-    pass over the rows; what a row has gathered goes along with it, so nothing is shuffled."""
-    import pyarrow as pa
-
-    spark = docs.sparkSession
-    blocks = list(_blocks(items, item_id, item_text, block_words))
-    carried = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema.fields)}, hit_spans array<long>, hit_items array<string>"
-    held = docs.columns
-    width = len(held)
-
-    def step(block, last: bool):
-        def run(batches):
-            own = _automaton(block.value, window)
-            for batch in batches:
-                texts = batch.column(width - 1).to_pylist()
-                before = list(zip(batch.column(width).to_pylist(), batch.column(width + 1).to_pylist(), strict=True)) if batch.num_columns > width else [((), ())] * len(texts)
-                out = []
-                for text, (flat, some) in zip(texts, before, strict=True):
-                    tokens = words(text)
-                    spans, found = own.hits(tokens)
-                    spans = _union(spans, zip(flat[::2], flat[1::2], strict=True)) if flat else spans
-                    out.append((text, tokens, spans, found.union(some)))
-                if last:
-                    yield finish(batch, out)
-                else:
-                    yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array([[x for s in o[2] for x in s] for o in out], pa.list_(pa.int64())), pa.array([sorted(o[3]) for o in out], pa.list_(pa.string()))], [*held, "hit_spans", "hit_items"])
-
-        return run
-
-    rows = docs
-    for k, block in enumerate(blocks):
-        last = k == len(blocks) - 1
-        rows = rows.mapInArrow(step(spark.sparkContext.broadcast(block), last), schema if last else carried)
-    return rows
+    (text, number of words, spans, items) of each row.  A task has one worker, which loads the blocks in turn: with
+    more than it keeps, a buffer of rows goes past each block before the next buffer does, so that loading
+    stays small beside matching.  Nothing is shuffled, and no block is sent to where it isn't asked for."""
+    width = len(docs.columns)
+    root, count = _write_blocks(items, item_id, item_text, block_words)
+
+    def run(batches):
+        for held in _buffered(batches, BUFFER if count > KEPT else 0):
+            rows = [[(text, 0, [], set()) for text in batch.column(width - 1).to_pylist()] for batch in held]
+            for k in range(max(count, 1)):
+                own = _automaton(root, k, window) if count else None
+                for part in rows:
+                    for i, (text, _, spans, found) in enumerate(part):
+                        tokens = words(text)
+                        more, other = own.hits(tokens) if own else ([], set())
+                        part[i] = text, len(tokens), _union(spans, more) if spans and more else more or spans, found | other if other else found
+            for batch, part in zip(held, rows, strict=True):
+                yield finish(batch, part)
+
+    return docs.mapInArrow(run, schema)
 
 
 def _union(a, b) -> list[tuple[int, int]]:
@@ -225,12 +232,12 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: s
     def finish(batch, rows):
         hit = [sum(b - a for a, b in r[2]) for r in rows]
         return pa.RecordBatch.from_arrays([
-            batch.column(0), pa.array([len(r[1]) for r in rows], pa.int64()), pa.array(hit, pa.int64()), pa.array([len(r[3]) for r in rows], pa.int64()),
+            batch.column(0), pa.array([r[1] for r in rows], pa.int64()), pa.array(hit, pa.int64()), pa.array([len(r[3]) for r in rows], pa.int64()),
             pa.array([sha256(",".join(sorted(r[3])).encode()).hexdigest() for r in rows], pa.string()), pa.array([h > 0 for h in hit], pa.bool_()),
         ], names)
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return _matched(rows, items, window, finish, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean", names, item_id, item_text, block_words)
+    return _matched(rows, items, window, finish, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean", item_id, item_text, block_words)
 
 
 def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
@@ -261,9 +268,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, max_span:
 
     def finish(batch, out):
         keep, texts, sizes = [], [], []
-        for k, (text, tokens, spans, _) in enumerate(out):
+        for k, (text, n_words, spans, _) in enumerate(out):
             if spans:
-                if sum(b - a for a, b in spans) > max_coverage * len(tokens):
+                if sum(b - a for a, b in spans) > max_coverage * n_words:
                     continue
                 if cut := [s for s in spans if s[1] - s[0] > max_span]:
                     text = cut_spans(text, cut)
@@ -279,7 +286,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, max_span:
         return pa.RecordBatch.from_arrays([columns[c] for c in (*held, text_col)], [*held, text_col])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return _matched(rows, items, window, finish, schema, names, item_id, item_text, block_words).select(*[F.col(f"`{c}`") for c in names])
+    return _matched(rows, items, window, finish, schema, item_id, item_text, block_words).select(*[F.col(f"`{c}`") for c in names])
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

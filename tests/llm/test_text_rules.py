@@ -48,6 +48,20 @@ def test_contamination_equals_brute_force(spark):
     assert contamination(d.limit(0), b).count() == 0
 
 
+def test_many_blocks_and_clashing_columns(spark):
+    items = [(i, " ".join(f"w{i * 7 + k}" for k in range(12))) for i in range(50)]
+    texts = [" ".join(["plain", *(items[i][1].split() if i < 50 else []), *(items[(i + 3) % 50][1].split() if i % 2 else []), *(f"own{i}x{k}" for k in range(40))]) for i in range(120)]
+    b = spark.createDataFrame(items, "item_id long, text string")
+    d = spark.createDataFrame([(i, "a", i, t, ["b"]) for i, t in enumerate(texts)], "doc_id long, hit_spans string, hit_items long, text string, items array<string>")
+    got = {r.doc_id: tuple(r)[1:] for r in contamination(d, b, block_words=12).collect()}
+    assert got == {i: brute_contamination(t, items, 10) for i, t in enumerate(texts)}
+    out = decontaminate(d.repartition(2), b, block_words=12)
+    assert out.columns == d.columns
+    rows = {r.doc_id: r for r in out.collect()}
+    assert len(rows) == 120 and all((r.hit_spans, r.hit_items, r["items"]) == ("a", i, ["b"]) for i, r in rows.items())
+    assert not any(r.contaminated for r in contamination(out, b).collect()) and all(f"own{i}x39" in r.text for i, r in rows.items())
+
+
 def test_decontaminated_texts_have_no_hits_left_and_clean_ones_stay(spark):
     items = [(1, "one two three four five six seven eight nine ten eleven")]
     clean = "nothing of that kind here, one two three"
