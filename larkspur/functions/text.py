@@ -191,7 +191,7 @@ def host_in(c: Column, hosts: tuple[str, ...]) -> Column:
 
 
 # --- fixed values: words of menu sections in URL paths --------------------------------------------
-SECTION_PATH_WORDS = ("breakfast", "lunch", "dinner", "brunch", "sandwiches", "salads", "soups", "wraps", "desserts", "deserts", "burgers", "appetizers", "starters", "sides", "beverages", "drinks", "specials")
+SECTION_PATH_WORDS = ("breakfast", "lunch", "dinner", "brunch", "sandwiches", "salads", "soups", "wraps", "desserts", "deserts", "burgers", "appetizers", "starters", "sides", "beverages", "drinks", "specials", "entrees", "entrées", "mains", "pasta", "kids", "family-style-meals")
 # ---------------------------------------------------------------------------------------------------
 
 
