@@ -131,10 +131,8 @@ def address_host(address: Column, port: bool = False) -> Column:
 
 def ordering_host(address: Column) -> Column:
     """The ordering platform that an address is on, else null."""
-    host, found = F.regexp_replace(address_host(address), r"\.$", ""), F.lit(None).cast("string")
-    for known in reversed(ORDERING_HOSTS):
-        found = F.when((host == known) | host.endswith("." + known), known).otherwise(found)
-    return found
+    known = "|".join(re.escape(h) for h in ORDERING_HOSTS)  # none ends with another
+    return F.nullif(F.regexp_extract(address_host(address), rf"(?:^|\.)({known})\.?$", 1), F.lit(""))
 
 
 def menu_link(label: Column, address: Column) -> Column:
@@ -185,10 +183,12 @@ def serialized_links(pages: DataFrame, html: str = "html", url: str = "url", kee
     written.  The first of equal addresses stays; fragments and final slashes tell none apart."""
     held = pages.where(F.col(html).contains("href")).select(*keep, F.col(url).alias("page_url"), decoded_markup(F.col(html)).alias("code"))
     pieces = held.withColumns({"hrefs": F.regexp_extract_all("code", F.lit(_HREF), F.lit(1)), "between": F.split("code", _HREF.replace('([^"]+)', '[^"]+'))}).where(F.size("hrefs") > 0)
-    # a link's place: all that is between the links before it, and those links themselves
+    # a link ends after all that is between the links before it, those links, and itself
     whole = F.regexp_extract_all("code", F.lit("(" + _HREF.replace('([^"]+)', '[^"]+') + ")"), F.lit(1))
-    ends = F.transform(F.sequence(F.lit(1), F.size("hrefs")), lambda i: F.aggregate(F.slice("between", F.lit(1), i), F.lit(0), lambda n, b: n + F.length(b)) + F.aggregate(F.slice("wholes", F.lit(1), i), F.lit(0), lambda n, w: n + F.length(w)))
-    spans = pieces.withColumn("wholes", whole).withColumn("ends", ends)
+    spans = pieces.withColumn("wholes", whole)
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends"))
+    step = lambda acc, x: F.struct((acc["at"] + F.length(x["between"]) + F.length(x["wholes"])).alias("at"), F.concat(acc["ends"], F.array(acc["at"] + F.length(x["between"]) + F.length(x["wholes"]))).alias("ends"))
+    spans = spans.withColumn("ends", F.aggregate(F.slice(F.arrays_zip("between", "wholes"), F.lit(1), F.size("hrefs")), begin, step)["ends"])
     at = spans.select(*keep, "page_url", "code", F.posexplode(F.arrays_zip("hrefs", "wholes", "ends")).alias("place", "x"))
     start = F.col("x.ends") - F.length("x.wholes")
     low = F.greatest(F.lit(0), start - LABEL_BEFORE)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import stripped
 from ..operators.structured import state_text, structured_text
+from ..operators.weblinks import EXTERNAL_LABEL_HINTS, EXTERNAL_URL_HINTS, MENU_HINTS, ORDERING_HOSTS, SKIP_HINTS, frontier, menu_images, menu_links, pdf_files, serialized_links, visit_key
 from ..sources.tables import table
 from .registry import query
 
@@ -89,3 +90,145 @@ def q_state_menus(spark: Spark, sf: str) -> Frame:
     docs = table(spark, sf, "documents").where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "lang", items.alias("items")).select("doc_id", F.array(F.lit("junk"), state).alias("values"))
     out = state_text(docs, "values", ("doc_id",))
     return out.select("doc_id", "products", "categories", F.sha2("text", 256).alias("text"))
+
+
+# -- links: every page's own links, each in one of several dresses -----------------------------------------------------
+
+_ORIGIN = "regexp_extract(url, '^(https?://[^/?#]+)', 1)"
+_HREFS = """SELECT page_id, url, unnest(h) AS href, unnest(range(len(h))) AS i FROM (SELECT page_id, url, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS h FROM pages)"""
+_N = "CAST(page_id * 10 + i AS VARCHAR)"
+
+
+def _dressed(forms: dict[int, str], count: int):
+    """The page's links as markup: link i of page p has form (p + i) % count, a template over {href} and {n}."""
+    def one(href, i):
+        n, out = (F.col("page_id") * 10 + i).cast("string"), F.lit("")
+        for k, template in forms.items():
+            text = F.replace(F.replace(F.lit(template), F.lit("{href}"), href), F.lit("{n}"), n)
+            out = F.when((F.col("page_id") + i) % count == k, text).otherwise(out)
+        return out
+
+    return F.array_join(F.transform(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1)), one), "\n")
+
+
+_LINK_FORMS = {
+    0: '<a href="/menu/{n}">No {n}</a>', 1: '<a class="x" href="https://www.toasttab.com/s{n}?x=1#/main">PICK  <b>UP</b></a>', 2: '<a href="https://press.example/opens-for-takeout-and-delivery-{n}">Story</a>', 3: '<a href="/gift-menu">Menu</a>',
+    4: '<a href="{href}"><b>See our</b> food</a>', 5: '<a href="https://menus.example/carte{n}.PDF?a=1">Menu</a>', 6: '<a href="https://other.example/order/{n}/">go</a><a href="#x">menu</a><a>menu</a>', 7: '<a href="{href}">About creation</a>',
+    8: '<a href="/Dinner#{n}">x</a>', 9: '<a href="https://toasttab.com.evil.example/{n}">x</a>', 10: '<a href="http://[">menu</a>',
+}
+_LINK_CASES = f"""CASE (page_id + i) % 11 WHEN 0 THEN {_ORIGIN} || '/menu/' || {_N} WHEN 1 THEN 'https://www.toasttab.com/s' || {_N} || '?x=1#/main' WHEN 2 THEN 'https://press.example/opens-for-takeout-and-delivery-' || {_N}
+  WHEN 3 THEN {_ORIGIN} || '/gift-menu' WHEN 4 THEN {_ORIGIN} || href WHEN 5 THEN 'https://menus.example/carte' || {_N} || '.PDF?a=1' WHEN 6 THEN 'https://other.example/order/' || {_N} || '/' WHEN 7 THEN {_ORIGIN} || href
+  WHEN 8 THEN {_ORIGIN} || '/Dinner#' || {_N} WHEN 9 THEN 'https://toasttab.com.evil.example/' || {_N} END"""
+
+
+def _hint(words) -> str:
+    return "(^|[^a-z])(" + "|".join(w.replace(".", "\\.") for w in words) + ")([^a-z]|$)"
+
+
+@query(f"""
+WITH l AS (SELECT page_id, url, i, {_LINK_CASES} AS address, CASE (page_id + i) % 11 WHEN 0 THEN 'No ' || {_N} WHEN 1 THEN 'PICK UP' WHEN 2 THEN 'Story' WHEN 3 THEN 'Menu' WHEN 4 THEN 'See our food' WHEN 5 THEN 'Menu' WHEN 6 THEN 'go' WHEN 7 THEN 'About creation' ELSE 'x' END AS label FROM ({_HREFS})),
+a AS (SELECT *, lower(label || ' ' || address) AS blob, regexp_extract(lower(address), '^https?://([^/?#]*)', 1) AS host, regexp_extract(lower(url), '^https?://([^/?#]*)', 1) AS own, rtrim(regexp_replace(address, '#.*$', ''), '/') AS key FROM l WHERE address IS NOT NULL),
+b AS (SELECT *, replace(host, 'www.', '') = replace(own, 'www.', '') AS same, regexp_matches(blob, '{"|".join(h.replace(".", chr(92) + ".") for h in SKIP_HINTS)}') AS skip,
+  (SELECT min(k) FROM (SELECT unnest({list(ORDERING_HOSTS)!r}) AS k) WHERE host = k OR ends_with(host, '.' || k)) AS known FROM a),
+c AS (SELECT *, CASE WHEN same AND NOT skip AND regexp_matches(blob, '{_hint(MENU_HINTS)}') AND key <> rtrim(regexp_replace(url, '#.*$', ''), '/') THEN 'same'
+  WHEN NOT same AND NOT skip AND (known IS NOT NULL OR regexp_matches(lower(label), '{_hint(EXTERNAL_LABEL_HINTS)}') OR regexp_matches(lower(regexp_extract(address, '^https?://[^/?#]*([^?#]*)', 1)), '{_hint(EXTERNAL_URL_HINTS)}')) AND NOT regexp_matches(lower(address), '^https?://[^?#]*\\.pdf([?#]|$)') THEN 'other' END AS kind FROM b),
+d AS (SELECT *, row_number() OVER (PARTITION BY page_id, kind, key ORDER BY i) AS n FROM c WHERE kind IS NOT NULL),
+e AS (SELECT *, row_number() OVER (PARTITION BY page_id, kind ORDER BY i) - 1 AS place FROM d WHERE n = 1)
+SELECT page_id, kind, CAST(place AS INTEGER) AS place, label, address, CASE WHEN kind = 'other' THEN known END AS host FROM e WHERE kind = 'other' OR place < 8""")
+def q_menu_links(spark: Spark, sf: str) -> Frame:
+    """The menu links of each page, to the same site and to others."""
+    pages = table(spark, sf, "pages").select("page_id", "url", _dressed(_LINK_FORMS, 11).alias("html"))
+    return menu_links(pages, keep=("page_id",))
+
+
+_FILLER = "repeat('x', CAST(i % 4 * 260 AS INTEGER))"
+_HREF_PIECE = f"""'"href":[0,"' || CASE WHEN (page_id + i) % 3 = 0 THEN replace(href, '/', chr(92) || '/') ELSE 'https:' || chr(92) || '/' || chr(92) || '/o.example' || href || '#f' END || '"]'"""
+_LABEL_PIECE = f"""'"content":[ 0 , "Label ' || {_N} || '"]'"""
+_PLAIN = "replace({0}, chr(92) || '/', '/')"
+
+
+@query(f"""
+WITH l AS ({_HREFS}),
+p AS (SELECT page_id, i, url, CASE WHEN (page_id + i) % 3 = 0 THEN {_ORIGIN} || href ELSE 'https://o.example' || href || '#f' END AS address, CASE WHEN (page_id + i) % 3 = 0 THEN href ELSE 'https://o.example' || href || '#f' END AS written,
+  length({_PLAIN.format("(" + _HREF_PIECE + ")")}) AS a, length({_LABEL_PIECE}) AS b, CAST(i % 4 * 260 AS INTEGER) AS f, 'Label ' || {_N} AS label FROM l),
+q AS (SELECT *, coalesce(sum(a + 1 + b + f) OVER (PARTITION BY page_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM p),
+w AS (SELECT x.page_id, x.i, string_agg(y.label, ' ' ORDER BY y.i) AS labels FROM q x JOIN q y ON x.page_id = y.page_id AND y.start + y.a + 1 >= x.start - 500 AND y.start + y.a + 1 + y.b <= x.start + x.a + 900 GROUP BY x.page_id, x.i),
+r AS (SELECT q.*, labels, row_number() OVER (PARTITION BY q.page_id, rtrim(regexp_replace(address, '#.*$', ''), '/') ORDER BY q.i) AS n FROM q LEFT JOIN w ON w.page_id = q.page_id AND w.i = q.i)
+SELECT page_id, CAST(i AS INTEGER) AS place, coalesce(labels, written) AS label, address FROM r WHERE n = 1""")
+def q_serialized_links(spark: Spark, sf: str) -> Frame:
+    """Links in serialized data with the labels near them."""
+    def piece(href, i):
+        n = (F.col("page_id") * 10 + i).cast("string")
+        slash = lambda c: F.replace(c, F.lit("/"), F.lit("\\/"))
+        to = F.when((F.col("page_id") + i) % 3 == 0, slash(href)).otherwise(slash(F.concat(F.lit("https://o.example"), href, F.lit("#f"))))
+        return F.concat(F.lit('&quot;href&quot;:[0,"'), to, F.lit('"],"content":[ 0 , "Label '), n, F.lit('"]'), F.repeat(F.lit("x"), (i % 4 * 260).cast("int")))
+
+    code = F.array_join(F.transform(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1)), piece), "")
+    return serialized_links(table(spark, sf, "pages").select("page_id", "url", code.alias("html")), keep=("page_id",))
+
+
+_PDF_FORMS = {
+    0: '<a href="{href}/m{n}.pdf">x</a>', 1: "<script>view('https://cdn.example/f{n}.PDF?v=2#page=1')</script>", 2: '<embed src = "/files/same.pdf#a{n}">', 3: '<object data="gift{n}.pdf"></object>', 4: '<a href="{href}">a.pdf.html</a>',
+}
+
+
+@query(f"""
+WITH l AS (SELECT *, (page_id + i) % 5 AS v FROM ({_HREFS})),
+a AS (SELECT page_id, v <> 1 AS part, i, CASE v WHEN 0 THEN {_ORIGIN} || href || '/m' || {_N} || '.pdf' WHEN 1 THEN 'https://cdn.example/f' || {_N} || '.PDF?v=2#page=1' WHEN 2 THEN {_ORIGIN} || '/files/same.pdf#a' || {_N}
+  WHEN 3 THEN regexp_extract(url, '^(https?://[^?#]*/)', 1) || 'gift' || {_N} || '.pdf' END AS address FROM l WHERE v <> 4),
+b AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY part, i) - 1 AS place, row_number() OVER (PARTITION BY page_id, split_part(address, '#', 1) ORDER BY part, i) AS n FROM a)
+SELECT page_id, CAST(place AS INTEGER) AS place, address FROM b WHERE n = 1 AND NOT contains(lower(address), 'gift')""")
+def q_pdf_files(spark: Spark, sf: str) -> Frame:
+    """The PDF files that each page names, whole addresses before attributes."""
+    return pdf_files(table(spark, sf, "pages").select("page_id", "url", _dressed(_PDF_FORMS, 5).alias("html")), keep=("page_id",))
+
+
+_IMAGE_FORMS = {
+    0: '<img src="/i/{n}.jpg" alt="Speisekarte">', 1: '<img data-src="/u/{n}.png">', 2: '<img src="/menu-logo{n}.png" alt="Menu">', 3: '<a href="{href}-menu.webp?w=1">Dinner</a>', 4: '<a href="{href}">menu</a><img alt="menu" src="/same.gif">', 5: '<img src="carte{n}.gif">',
+}
+
+
+@query(f"""
+WITH l AS (SELECT *, (page_id + i) % 6 AS v FROM ({_HREFS.replace("SELECT page_id, url, regexp", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN regexp_replace(url, '/*([?#].*)?$', '') || '/Carte' ELSE url END AS url, regexp")})),
+a AS (SELECT page_id, i, v, v = 3 AS file, v IN (0, 3, 4, 5) AS named, page_id % 2 = 0 AS page, CASE v WHEN 0 THEN {_ORIGIN} || '/i/' || {_N} || '.jpg' WHEN 1 THEN {_ORIGIN} || '/u/' || {_N} || '.png'
+  WHEN 3 THEN {_ORIGIN} || href || '-menu.webp?w=1' WHEN 4 THEN {_ORIGIN} || '/same.gif' WHEN 5 THEN regexp_extract(url, '^(https?://[^?#]*/)', 1) || 'carte' || {_N} || '.gif' END AS address FROM l WHERE v <> 2),
+b AS (SELECT *, row_number() OVER (PARTITION BY page_id, address ORDER BY file, i) AS n FROM a WHERE named OR page)
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY named DESC, file, i) - 1 AS INTEGER) AS place, named, address FROM b WHERE n = 1""")
+def q_menu_images(spark: Spark, sf: str) -> Frame:
+    """The menu images of each page, named ones first; every other page's path says menu."""
+    pages = table(spark, sf, "pages").withColumn("url", F.when(F.col("page_id") % 2 == 0, F.concat(F.regexp_replace("url", "/*([?#].*)?$", ""), F.lit("/Carte"))).otherwise(F.col("url")))
+    return menu_images(pages.select("page_id", "url", _dressed(_IMAGE_FORMS, 6).alias("html")), keep=("page_id",))
+
+
+_KEY = "regexp_replace(rtrim(regexp_replace({0}, '#.*$', ''), '/'), '^(https?)://www[.]', '\\1://')"
+
+
+@query(f"""
+WITH k AS (SELECT regexp_extract(lower(u), '^https?://([^/?#]*)', 1) AS site, u AS key, min(url) AS url FROM (SELECT url, {_KEY.format("url")} AS u FROM pages) GROUP BY u),
+n AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY key) - 1 AS r, count(*) OVER (PARTITION BY site) AS n FROM k),
+e AS (SELECT a.site, a.key AS src, a.r AS rank, t AS place, CASE WHEN t = 2 THEN regexp_extract(a.url, '^(https?://[^/?#]+)', 1) || '/none' || a.r ELSE b.url || '#t' || t END AS url
+  FROM n a, (SELECT unnest(range(9)) AS t) JOIN n b ON b.site = a.site AND b.r = (a.r * 2 + 1 + t * 3) % a.n),
+l AS (SELECT *, {_KEY.format("url")} AS key FROM e),
+s AS (SELECT site, key AS landing, url AS home FROM n WHERE r = 0),
+f AS (SELECT site, 1 + place AS visit, url, key FROM l WHERE rank = 0 AND place < 8
+  UNION ALL SELECT site, 9, u, key FROM (SELECT *, {_KEY.format("u")} AS key FROM (SELECT site, home, regexp_extract(home, '^(https?://[^/?#]+)', 1) || '/menu' AS u FROM s)) m WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.site = m.site AND rank = 0 AND place < 8 AND l.key = m.key)),
+h AS (SELECT f.site, f.visit, k.url AS address, f.url, f.key FROM f JOIN k ON k.key = f.key WHERE visit <= 12),
+seen AS (SELECT site, landing AS key FROM s UNION SELECT site, key FROM f),
+g AS (SELECT l.site, l.url, l.key, h.visit, l.place, row_number() OVER (PARTITION BY l.site, l.key ORDER BY h.visit, l.place) AS n FROM h JOIN l ON l.src = h.key AND l.place < 8 WHERE NOT EXISTS (SELECT 1 FROM seen WHERE seen.site = l.site AND seen.key = l.key)),
+q AS (SELECT g.site, c.n + row_number() OVER (PARTITION BY g.site ORDER BY visit, place) AS visit, url, key FROM g JOIN (SELECT site, count(*) AS n FROM f GROUP BY site) c ON c.site = g.site WHERE g.n = 1)
+SELECT site, 0 AS visit, 0 AS hop, home AS address, home AS url FROM s
+UNION ALL SELECT site, CAST(visit AS INTEGER), 1, address, url FROM h
+UNION ALL SELECT q.site, CAST(visit AS INTEGER), 2, k.url, q.url FROM q JOIN k ON k.key = q.key WHERE visit <= 12""")
+def q_frontier(spark: Spark, sf: str) -> Frame:
+    """Which pages of each site a crawl of two hops and twelve requests holds, over all pages."""
+    key = visit_key(F.col("url"))
+    site = F.regexp_extract(F.lower("key"), "^https?://([^/?#]*)", 1)
+    nodes = table(spark, sf, "pages").groupBy(key.alias("key")).agg(F.min("url").alias("url")).withColumn("site", site)
+    own = Window.partitionBy("site")
+    nodes = nodes.withColumns({"r": F.row_number().over(own.orderBy("key")) - 1, "n": F.count("*").over(own)})
+    ends = nodes.select("site", F.col("r").alias("to"), F.col("url").alias("target"))
+    out = nodes.select("site", F.col("url").alias("page"), "r", F.explode(F.sequence(F.lit(0), F.lit(8))).alias("place"), "n").withColumn("to", (F.col("r") * 2 + 1 + F.col("place") * 3) % F.col("n")).join(ends, ["site", "to"])
+    origin = F.regexp_extract("page", "^(https?://[^/?#]+)", 1)
+    address = F.when(F.col("place") == 2, F.concat(origin, F.lit("/none"), F.col("r").cast("string"))).otherwise(F.concat("target", F.lit("#t"), F.col("place").cast("string")))
+    sites = nodes.where("r = 0").select("site", "url", F.lit(None).cast("string").alias("canonical"))
+    return frontier(sites, nodes.select("url", F.col("url").alias("address")), out.select("page", "place", address.alias("address")))
