@@ -280,11 +280,11 @@ def _line(e: Column) -> Column:
 
 
 def _distinct_lines(rows: DataFrame, entries: str) -> DataFrame:
-    """``lines`` of ``entries`` without items that repeat an earlier item's line, and ``n`` items."""
-    rows = rows.withColumn("made", F.transform(entries, lambda e: F.struct(_line(e).alias("line"), (e["kind"] == "item").alias("item"))))
-    rows = rows.withColumn("told", F.transform("made", lambda m: F.when(m["item"], m["line"])))
-    kept = F.filter("made", lambda m, i: ~m["item"] | (F.array_position("told", m["line"]) == i + 1))
-    return rows.withColumns({"lines": F.transform(kept, lambda m: m["line"]), "n": F.size(F.filter(kept, lambda m: m["item"]))})
+    """``lines`` of ``entries`` without items that repeat an earlier item's line, and ``n`` items.  Headings are told
+    apart by their places, so that one look-up of strings finds all first lines."""
+    marked = F.transform(entries, lambda e, i: F.concat(F.when(e["kind"] == "item", "i").otherwise(F.concat(F.lit("h"), i.cast("string"))), F.lit(":"), _line(e)))
+    rows = rows.withColumn("marked", F.array_distinct(marked))
+    return rows.withColumns({"lines": F.transform("marked", lambda m: F.regexp_replace(m, r"^(i|h\d+):", "")), "n": F.size(F.filter("marked", lambda m: m.startswith("i")))})
 
 
 def structured_text(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = (), least: int = LEAST_ITEMS) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.documents import menu_score, menu_signals
-from ..operators.extract import chunks, html_text, keep_pages, open_state
+from ..operators.extract import chunks, html_text, open_state
+from ..operators.finish import keep_pages
 from ..operators.identity import compatible_groups
 from ..operators.locate import filter_urls
 from ..sources.tables import table

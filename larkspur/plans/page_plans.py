@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import stripped
+from ..operators.finish import finished
 from ..operators.structured import state_text, structured_text
 from ..operators.weblinks import EXTERNAL_LABEL_HINTS, EXTERNAL_URL_HINTS, MENU_HINTS, ORDERING_HOSTS, SKIP_HINTS, frontier, menu_images, menu_links, pdf_files, serialized_links, visit_key
 from ..sources.tables import table
@@ -232,3 +233,38 @@ def q_frontier(spark: Spark, sf: str) -> Frame:
     address = F.when(F.col("place") == 2, F.concat(origin, F.lit("/none"), F.col("r").cast("string"))).otherwise(F.concat("target", F.lit("#t"), F.col("place").cast("string")))
     sites = nodes.where("r = 0").select("site", "url", F.lit(None).cast("string").alias("canonical"))
     return frontier(sites, nodes.select("url", F.col("url").alias("address")), out.select("page", "place", address.alias("address")))
+
+
+@query("""
+WITH RECURSIVE b AS (SELECT doc_id, doc_id // 8 AS site, doc_id % 8 AS k, coalesce(text, '') AS text, lag(coalesce(text, '')) OVER (PARTITION BY doc_id // 8 ORDER BY doc_id) AS before FROM documents),
+p AS (SELECT site, doc_id AS place, CASE k WHEN 0 THEN 'https://www.s' || site || '.example/' WHEN 1 THEN 'https://www.toasttab.com/a' || site WHEN 2 THEN 'https://order.toasttab.com/b' || site WHEN 3 THEN 'https://www.doordash.com/store/' || site
+    WHEN 7 THEN 'https://www.s' || site || '.example/p' || 6 ELSE 'https://www.s' || site || '.example/p' || k END AS url,
+  CASE WHEN k = 5 THEN substr(before, length(before) // 2) WHEN k = 6 THEN before || 'x' ELSE text END AS text,
+  (doc_id * 37 % 101) / 100.0 AS score, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE doc_id % 16 END AS prices, doc_id % 5 AS sections FROM b),
+f AS (SELECT *, score >= 0.45 AS is_menu, regexp_extract(url, '(toasttab.com|doordash.com)', 1) AS host FROM p QUALIFY row_number() OVER (PARTITION BY site, url ORDER BY place) = 1),
+t AS (SELECT site, arg_min(url, (-score, place)) AS best_url, arg_min(text, (-score, place)) AS best_text, max(score) AS top,
+  arg_min(host, (-score, -prices, place)) FILTER (WHERE is_menu AND prices >= 8 AND host <> '') AS platform FROM f GROUP BY site),
+s AS (SELECT *, CASE WHEN length(best_text) < 200 THEN 'too_little_text' WHEN top < 0.45 THEN 'no_menu' ELSE 'ok' END AS status FROM t),
+c AS (SELECT f.site, f.url, f.text, row_number() OVER (PARTITION BY f.site ORDER BY score DESC, place) AS r FROM f JOIN s ON f.site = s.site WHERE status = 'ok' AND is_menu AND length(text) >= 200
+  AND NOT (host <> '' AND platform IS NOT NULL AND host <> platform) AND NOT (top >= 0.75 AND url = 'https://www.s' || f.site || '.example/' AND score < 0.6 AND prices = 0 AND sections < 2)),
+k AS (SELECT site, CAST(0 AS BIGINT) AS r, CAST(0 AS BIGINT) AS total, CAST([] AS VARCHAR[]) AS urls, CAST([] AS VARCHAR[]) AS texts FROM s
+  UNION ALL SELECT k.site, k.next, CASE WHEN ok THEN total + length(k.text) ELSE total END, CASE WHEN ok THEN list_append(urls, k.url) ELSE urls END, CASE WHEN ok THEN list_append(texts, k.text) ELSE texts END
+    FROM (SELECT k.*, c.r AS next, c.url, c.text, len(list_filter(texts, lambda x: contains(x, c.text) OR contains(c.text, x))) = 0 AND (len(texts) = 0 OR total + length(c.text) <= 50000) AS ok FROM k JOIN c ON c.site = k.site AND c.r = k.r + 1) k),
+l AS (SELECT site, arg_max(urls, r) AS urls, arg_max(texts, r) AS texts FROM k GROUP BY site)
+SELECT s.site, status, best_url, CAST(top AS DOUBLE) AS score, CASE WHEN status = 'ok' THEN array_to_string(urls, ' ') END AS urls,
+  sha256(CASE WHEN len(urls) > 1 THEN array_to_string(list_transform(range(1, len(urls) + 1), lambda i: '[page: ' || urls[i] || ']' || chr(10) || texts[i]), chr(10) || chr(10)) ELSE best_text END) AS text
+FROM s JOIN l ON l.site = s.site""")
+def q_page_finish(spark: Spark, sf: str) -> Frame:
+    """What is kept of crawls of eight pages each, over all documents."""
+    site, k = F.floor(F.col("doc_id") / 8).cast("long"), F.col("doc_id") % 8
+    docs = table(spark, sf, "documents").select("doc_id", site.alias("site"), k.alias("k"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.withColumn("before", F.lag("text").over(Window.partitionBy("site").orderBy("doc_id")))
+    home, n = F.concat(F.lit("https://www.s"), F.col("site").cast("string"), F.lit(".example/")), F.col("site").cast("string")
+    url = F.when(F.col("k") == 0, home).when(F.col("k") == 1, F.concat(F.lit("https://www.toasttab.com/a"), n)).when(F.col("k") == 2, F.concat(F.lit("https://order.toasttab.com/b"), n)).when(F.col("k") == 3, F.concat(F.lit("https://www.doordash.com/store/"), n))
+    url = url.otherwise(F.concat(home, F.lit("p"), F.when(F.col("k") == 7, "6").otherwise(F.col("k").cast("string"))))
+    text = F.when(F.col("k") == 5, F.expr("substring(before, cast(length(before) / 2 as int))")).when(F.col("k") == 6, F.concat("before", F.lit("x"))).otherwise(F.col("text"))
+    i = F.col("doc_id")
+    pages = docs.select("site", i.alias("place"), url.alias("url"), text.alias("text"), ((i * 37 % 101) / 100.0).alias("score"), F.when(i % 3 == 0, 0).otherwise(i % 16).alias("prices"), (i % 5).alias("sections")).withColumn("is_menu", F.col("score") >= 0.45)
+    sites = docs.where("k = 0").select("site", home.alias("landing"))
+    out = finished(pages, sites, "site")
+    return out.select("site", "status", "best_url", "score", F.array_join("urls", " ").alias("urls"), F.sha2("text", 256).alias("text"))

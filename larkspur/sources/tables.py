@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +15,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once and held in the session's checkpoint folder, so that lineage ends there.  The folder is
+    what ``spark.checkpoint.dir`` names; only ``local[...]`` masters may go without."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not where and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(where or f"file://{tempfile.mkdtemp(prefix='larkspur-')}")
+    return df.checkpoint()
+
+
 def typed_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A Parquet table with additive migrations applied."""
     return conform(spark.read.option("mergeSchema", "true").parquet(path), schema)

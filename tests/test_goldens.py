@@ -11,7 +11,8 @@ from larkspur.functions import geo, text
 from larkspur.functions.documents import detached_prices, menu_score, menu_signals
 from larkspur.functions.scoring import clamp, consumer_venue, reputation, tier
 from larkspur.functions.search import parse_query
-from larkspur.operators.extract import chunk_lines, html_lines, keep_pages, menu_items, open_at, structured_menu
+from larkspur.operators.extract import chunk_lines, html_lines, menu_items, open_at, structured_menu
+from larkspur.operators.finish import keep_pages
 from larkspur.operators.identity import canonical, compatible, compatible_groups, exact_groups, repoint, upsert_dishes
 from larkspur.operators.locate import address_parts, filter_urls, location_specific
 from larkspur.operators.rollups import venue_counts, venue_scores
