@@ -74,18 +74,6 @@ def filter_urls(urls: DataFrame, record: str, url: str = "url", address: str = "
     return own.withColumn("__any", anchored).where(~(F.col("__any") & F.col("__specific") & ~F.col("__plausible"))).drop("__anchor", "__plausible", "__specific", "__any")
 
 
-def _differing(a: Column, b: Column) -> tuple[Column, Column]:
-    """The one span of either token array outside their common head and tail."""
-    least = F.least(F.size(a), F.size(b))
-    steps = F.sequence(F.lit(1), F.greatest(least, F.lit(1)))
-    off = F.filter(steps, lambda i: ~F.coalesce(F.get(a, i - 1) == F.get(b, i - 1), F.lit(False)))
-    head = F.when(least == 0, 0).otherwise(F.coalesce(F.get(off, F.lit(0)) - 1, least))
-    ra, rb = F.reverse(a), F.reverse(b)
-    back = F.filter(steps, lambda i: ~F.coalesce(F.get(ra, i - 1) == F.get(rb, i - 1), F.lit(False)))
-    tail = F.least(F.when(least == 0, 0).otherwise(F.coalesce(F.get(back, F.lit(0)) - 1, least)), least - head)
-    return F.slice(a, head + 1, F.size(a) - head - tail), F.slice(b, head + 1, F.size(b) - head - tail)
-
-
 def _is_place(span: Column, place: Column) -> Column:
     """Whether a span is exactly the record's city, street or number."""
     same = lambda x: (F.size(x) > 0) & (F.size(F.array_except(x, span)) == 0) & (F.size(F.array_except(span, x)) == 0)
@@ -103,19 +91,22 @@ SECTION_WORDS = (
 # --------------------------------------------------------------------------------------------------------------
 
 
-def sibling_drops(urls: DataFrame, record: str, url: str = "url", address: str = "address") -> DataFrame:
+def sibling_drops(urls: DataFrame, record: str, url: str = "url", address: str = "address", longest: int = 4) -> DataFrame:
     """(record, url) of pages that differ from one of the record's own pages, on the same host, in one
     span of up to four tokens, where the own page's span is the record's place and the other's is neither
-    that nor a menu section.  Pages meet by record and host."""
-    tokens = url_tokens(F.col(url))
+    that nor a menu section.  Pages meet by record, host and the tokens before and after a span, where the own pages
+    are few: of those that agree in all that only the first and last words of the place count."""
     host = F.lower(F.regexp_extract(F.col(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
-    rows = urls.select(F.col(record).alias("r"), F.col(url).alias("u"), host.alias("h"), tokens.alias("t"), address_parts(F.col(address)).alias("place")).distinct()
-    a, b = rows.alias("a"), rows.alias("b")
-    span_a, span_b = _differing(F.col("a.t"), F.col("b.t"))
-    both = a.join(b, F.expr("a.r = b.r AND a.h = b.h AND a.u <> b.u")).select("b.r", "b.u", "a.place", span_a.alias("x"), span_b.alias("y"))
-    short = F.size("x").between(1, 4) & F.size("y").between(1, 4)
-    hit = short & _is_place(F.col("x"), F.col("place")) & ~_is_place(F.col("y"), F.col("place")) & ~F.exists("y", lambda t: t.isin(*SECTION_WORDS))
-    return both.where(hit).select(F.col("r").alias(record), F.col("u").alias(url)).distinct()
+    rows = urls.select(F.col(record).alias("r"), F.col(url).alias("u"), host.alias("h"), url_tokens(F.col(url)).alias("t"), address_parts(F.col(address)).alias("place")).distinct()
+    ends = F.flatten(F.transform(F.sequence(F.lit(1), F.size("t")), lambda i: F.transform(F.sequence(i, F.least(i + (longest - 1), F.size("t"))), lambda j: F.struct(i.alias("i"), j.alias("j")))))
+    spans = rows.where(F.size("t") > 0).select("r", "u", "h", "t", "place", F.explode(ends).alias("e"))
+    spans = spans.select("r", "u", "h", "place", F.slice("t", F.col("e.i"), F.col("e.j") - F.col("e.i") + 1).alias("x"), F.array_join(F.slice("t", F.lit(1), F.col("e.i") - 1), " ").alias("head"), F.array_join(F.slice("t", F.col("e.j") + 1, F.size("t")), " ").alias("tail"))
+    spans = spans.withColumns({"own": F.coalesce(_is_place(F.col("x"), F.col("place")), F.lit(False)), "a": F.get("x", F.lit(0)), "b": F.element_at("x", -1)})
+    keys = ["r", "h", "head", "tail"]
+    places = spans.where("own").groupBy(*keys).agg(F.collect_set(F.struct("a", "b")).alias("places"))
+    other = spans.where(~F.col("own") & ~F.exists("x", lambda t: t.isin(*SECTION_WORDS)))
+    hit = other.join(places, keys).where(F.exists("places", lambda p: (p["a"] != F.col("a")) & (p["b"] != F.col("b"))))
+    return hit.select(F.col("r").alias(record), F.col("u").alias(url)).distinct()
 
 
 def filter_pages(pages: DataFrame, record: str = "restaurant_id", url: str = "url", text: str = "text", address: str = "address") -> DataFrame:
