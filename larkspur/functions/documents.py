@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,17 +23,37 @@ FOOD_WORDS = (
 )
 GIFT_WORDS = ("gift card", "egift", "e-gift", "gift cards", "voucher", "check balance", "reload card", "recipient")
 MENU_THRESHOLD = 0.45
-# -----------------------------------------------------------------------------------------------------
 PRICE = r"(?:\$\s?\d{1,3}(?:\.\d{2})?)|(?:\b\d{1,3}\.\d{2}\b)"
 TRAILING_PRICE = r"(?m)(?:\s[-–—]\s?|\.{2,}\s?|\.\s\.\s)(\d{1,3})(?:\.\d{2})?\s*$"
+# -----------------------------------------------------------------------------------------------------
+
+
+def _tree(words: list[str]) -> str:
+    """A pattern that matches where one of the words begins, by their common beginnings."""
+    heads: dict[str, list[str]] = {}
+    for w in sorted(words):
+        heads.setdefault(w[:1], []).append(w[1:])
+    ends = heads.pop("", None) is not None
+    branches = [re.escape(c) + (_tree(rest) if any(rest) else "") for c, rest in heads.items()]
+    return f"(?:{'|'.join(branches)})" + ("?" if ends else "")
 
 
 def substring_hits(low: Column, words: tuple[str, ...]) -> Column:
-    """Occurrences of all words as substrings, not as whole words."""
+    """Occurrences of all words as substrings, not as whole words.  One pass finds the places where words begin; a word that
+    begins with another is counted besides, and one that can overlap itself is counted by what is left without it."""
+    once = list(dict.fromkeys(words))
+    looped = [w for w in once if any(w.startswith(w[k:]) for k in range(1, len(w)))]
+    told = [w for w in once if w not in looped]
     total = F.lit(0)
-    for w in words:
-        total = total + F.floor((F.length(low) - F.length(F.replace(low, F.lit(w), F.lit("")))) / len(w)).cast("int")
-    return total
+    if told:
+        first = "".join(re.escape(c) for c in sorted({w[0] for w in told}))
+        total = total + F.regexp_count(low, F.lit(f"(?=[{first}])(?={_tree(told)})"))
+    for w in told:
+        if any(w != v and w.startswith(v) for v in told):
+            total = total + F.regexp_count(low, F.lit(re.escape(w)))
+    for w in looped:
+        total = total + F.floor((F.length(low) - F.length(F.replace(low, F.lit(w), F.lit("")))) / len(w))
+    return total.cast("int")
 
 
 def present(low: Column, words: tuple[str, ...]) -> Column:

@@ -76,3 +76,22 @@ def sweep(found: DataFrame, lat: float, lng: float, radius: float) -> DataFrame:
     near = found.withColumn("distance", meters(F.lit(lat), F.lit(lng), F.col("lat"), F.col("lng"))).where(F.col("distance") <= radius)
     first = near.groupBy("place_id").agg(F.min_by(F.struct("name", "lat", "lng", "distance"), "arrival").alias("x")).select("place_id", "x.*")
     return first.orderBy("distance", F.lower("name"), "place_id")
+
+
+def tiles(circles: DataFrame, keep: tuple[str, ...], lat: str = "lat", lng: str = "lng", radius: str = "radius", cell: float = SWEEP_CELL) -> DataFrame:
+    """(keep..., lat, lng) of the overlapping cells that cover each circle; a circle of no more than a cell is
+    its own centre."""
+    n = F.when(F.col(radius) <= cell, 0).otherwise(F.ceil(F.col(radius) / cell)).cast("int")
+    dlat, dlng = F.lit(cell / METERS_PER_DEGREE), F.lit(cell) / (F.lit(METERS_PER_DEGREE) * F.greatest(F.lit(0.01), F.cos(F.radians(F.col(lat)))))
+    grid = circles.select(*keep, F.col(lat).alias("lat0"), F.col(lng).alias("lng0"), F.col(radius).alias("r"), dlng.alias("dlng"), F.explode(F.sequence(-n, n)).alias("i"), n.alias("n"))
+    grid = grid.select(*keep, "lat0", "lng0", "r", "dlng", "i", F.explode(F.sequence(-F.col("n"), F.col("n"))).alias("j"))
+    centres = grid.select(*keep, "lat0", "lng0", "r", (F.col("lat0") + F.col("i") * dlat).alias("lat"), (F.col("lng0") + F.col("j") * F.col("dlng")).alias("lng"))
+    return centres.where(meters(F.col("lat0"), F.col("lng0"), F.col("lat"), F.col("lng")) <= F.col("r") + cell).select(*keep, "lat", "lng")
+
+
+def estimates(circles: DataFrame, key: str, cell: float = SWEEP_CELL) -> DataFrame:
+    """(key, cells, base_calls, call_budget, cost, within) of a sweep of each circle, before any call."""
+    cells = tiles(circles, (key,), cell=cell).groupBy(key).agg(F.count("*").alias("cells"))
+    calls = F.col("cells") * SWEEP_GROUPS
+    budget = F.least(calls, F.lit(SWEEP_MAX_CALLS))
+    return cells.select(key, "cells", calls.alias("base_calls"), budget.alias("call_budget"), F.round(budget * SWEEP_PRICE, 2).alias("cost"), (calls <= SWEEP_MAX_CALLS).alias("within"))

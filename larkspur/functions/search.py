@@ -113,7 +113,8 @@ def relevance(intent: Intent, name: Column, ingredients: Column, description: Co
 
 SORTS = {
     "recommended": [("rating", True), ("confidence", True)],
-    "rating": [("rating", True)],
+    "restaurant": [("restaurant_name", False)],
+    "rating": [("rating", True), ("user_rating_count", True)],
     "confidence": [("confidence", True)],
     "price": [("price_value", False)],
     "price_desc": [("price_value", True)],

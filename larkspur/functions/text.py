@@ -122,7 +122,6 @@ def evidence_split(c: Column) -> Column:
 
 #: White space as texts of web pages hold it: Unicode's, and the information separators.
 WHITE = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
-_WHITE_RUN = r"[\s\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"
 _LINE_END = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"
 
 
@@ -133,7 +132,8 @@ def stripped(c: Column) -> Column:
 
 def squeezed(c: Column) -> Column:
     """Runs of white space as one space, none at either end."""
-    return F.trim(F.regexp_replace(c, _WHITE_RUN, " "))
+    spaced = F.translate(c, WHITE, " " * len(WHITE))
+    return F.trim(F.when(spaced.contains("  "), F.regexp_replace(spaced, " {2,}", " ")).otherwise(spaced))
 
 
 def split_lines(c: Column) -> Column:

@@ -113,3 +113,11 @@ def run_guards(runs: DataFrame, key: str, verdict: str, confidence: str, least:
     """(key, n, vegan_rate, spread) of runs with enough rows."""
     vegan = F.when(F.col(verdict).isin("vegan", "likely_vegan"), 1.0).otherwise(0.0)
     return runs.groupBy(key).agg(F.count("*").alias("n"), F.avg(vegan).alias("vegan_rate"), F.stddev_pop(confidence).alias("spread")).where(F.col("n") >= least)
+
+
+def pins(dishes: DataFrame, venue: str = "restaurant_id", place: str = "place", context: tuple[str, ...] = ("restaurant_name", "address", "lat", "lng", "distance", "rating", "user_rating_count", "primary_type", "price_level", "website_url")) -> DataFrame:
+    """(venue, the context columns, count) for the map: how many shown dishes a venue has, and what the first of them in
+    ``place`` says of it.  Dishes without a position are on no map."""
+    placed = dishes.where("lat IS NOT NULL AND lng IS NOT NULL")
+    first = placed.groupBy(venue).agg(F.min_by(F.struct(*context), place).alias("x"), F.count("*").alias("count"))
+    return first.select(venue, "x.*", "count")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -10,6 +10,7 @@ from ..functions.documents import menu_score, menu_signals
 from ..functions.search import interleave, parse_query, relevance
 from ..functions.text import alcohol_status, audit_calories, audit_price, dish_key, finding_fingerprint, first_price, json_list, lost_decimal, menu_hash, normal_search, preview, price_key, pretty_type, url_host, url_normal
 from ..operators.extract import links
+from ..operators.ranks import ranked
 from ..operators.rollups import findings, first_owner, with_reviews
 from ..sources.tables import table
 from .registry import query
@@ -71,7 +72,7 @@ SELECT id, CAST(row_number() OVER (PARTITION BY price_value > 950 ORDER BY {keys
 def _ranked(spark: Spark, sf: str, keys: list) -> Frame:
     size = F.col("p_size")
     rows = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), (size % 5).alias("tier"), (size % 2).alias("role"), F.when(size % 9 != 0, size % 6).alias("rating"), F.col("p_retailprice").alias("price_value"), F.when(F.col("p_name").contains("red"), 12).otherwise(1).alias("score"))
-    return rows.select("id", F.row_number().over(Window.partitionBy(F.col("price_value") > 950).orderBy(*keys)).cast("long").alias("place"))
+    return ranked(rows.withColumn("dear", F.col("price_value") > 950), keys, ("dear",), "place").select("id", "place")
 
 
 @query(_RANKED.format(keys="tier, score DESC, role, rating DESC NULLS LAST, name, id"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -80,3 +81,31 @@ def parity(before: DataFrame, after: DataFrame, id_col: str, parents: DataFrame,
         "lost": before.exceptAll(after).count(),
         "gained": after.exceptAll(before).count(),
     }
+
+
+def read_snapshot(spark: SparkSession, schema: T.StructType, *paths: str) -> DataFrame:
+    """The JSON rows at the first of the paths that exists: a plain snapshot, else its compressed forms."""
+    for path in paths:
+        try:
+            return spark.read.schema(schema).json(path)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+    raise FileNotFoundError(f"no snapshot: {', '.join(paths)}")
+
+
+def read_shards(spark: SparkSession, path: str, schema: T.StructType, key: str, keys: list, snapshot: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, failed) of several shards.  A key without a shard has its rows of ``snapshot``; a shard with a broken
+    row fails as a whole, is named in ``failed`` and takes nothing from the others."""
+    wanted = spark.createDataFrame([(k,) for k in keys], T.StructType([T.StructField(key, schema[key].dataType)]))
+    columns = [f.name for f in schema.fields]
+    body = T.StructType([*(f for f in schema.fields if f.name != key), T.StructField("_corrupt_record", T.StringType())])
+    lines = spark.read.option("basePath", path).text(path).where(F.col(key).isin(keys)).where(F.trim("value") != "")
+    held = lines.select(F.col(key).cast(schema[key].dataType).alias(key), F.from_json("value", body, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("row")).select(key, "row.*")
+    marks = held.groupBy(key).agg(F.max(F.col("_corrupt_record").isNotNull()).alias("broken"))
+    failed = marks.where("broken").select(key)
+    rows = held.select(*columns).join(failed, key, "left_anti").select(*columns)
+    if snapshot is not None:
+        missing = wanted.join(marks.select(key), key, "left_anti")
+        rows = rows.unionByName(snapshot.select(*columns).join(missing, key, "left_semi").select(*columns))
+    return rows, failed
