@@ -11,9 +11,15 @@ from ..schemas import DESSERT_VENUE_TYPES, EXCLUDED_PRIMARY_TYPES
 MIN_CONFIDENCE = 0.75
 SIDE_WEIGHT, SELECTION_SATURATION, SUBSTANCE_SATURATION, TREAT_SATURATION = 0.25, 12.0, 3.0, 5.0
 RATING_PRIOR, RATING_PRIOR_WEIGHT = 4.0, 25.0
+PLANT_PROTEIN = r"(?iu)\b(tofu|seitan|tempeh|edamame|beyond|impossible|vegan (?:protein|chick'?n|chicken|sausage|pepperoni|beef|steak|meat))\b"
 # -------------------------------------------------------------------------------------------------
 
 
+def plant_protein(menu: Column) -> Column:
+    """whether a menu offers a plant protein anywhere; without a menu, no."""
+    return F.coalesce(menu.rlike(PLANT_PROTEIN), F.lit(False))
+
+
 def strict_vegan(verdict: Column, confidence: Column) -> Column:
     return F.coalesce((verdict == "vegan") | ((verdict == "likely_vegan") & (confidence >= MIN_CONFIDENCE)), F.lit(False))
 

@@ -77,6 +77,16 @@ def price_key(c: Column) -> Column:
     return F.when(F.coalesce(c, F.lit("")) == "", "").when(F.size(found) == 0, letters_and_digits(c)).otherwise(F.array_join(plain, "/"))
 
 
+def money(value: Column) -> Column:
+    """Whole amounts without cents, others with two."""
+    return F.when(value == F.floor(value), F.concat(F.lit("$"), F.floor(value).cast("string"))).otherwise(F.format_string("$%.2f", value))
+
+
+def iso_time(c: Column) -> Column:
+    """An ISO time with or without an offset, as an instant; null where it is none."""
+    return F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_timestamp(c))
+
+
 def letters_and_digits(c: Column) -> Column:
     """Lower-case letters and digits alone (null: empty); texts beyond ASCII want ``canonical_text``."""
     return F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]", "")

@@ -53,3 +53,11 @@ def preferred_category(primary_type: Column, food: Column, dessert: Column, drin
     kind = F.lower(F.coalesce(primary_type, F.lit("")))
     first = (dessert > 0) & (kind.isin(*DESSERT_FIRST) | ((kind == "bakery") & (dessert >= food)))
     return F.when(first, "dessert").when(food > 0, "food").when(dessert > 0, "dessert").when(drink > 0, "drink").otherwise("food")
+
+
+def cuisine_options(venues, primary_type: str = "primary_type"):
+    """(label, place) of the cuisines there are, by name, with Other at the end.  There are at most as many as groups."""
+    from pyspark.sql import Window
+
+    labels = venues.select(cuisine(F.col(primary_type)).alias("label")).distinct()
+    return labels.select("label", (F.row_number().over(Window.orderBy(F.col("label") == "Other", "label")) - 1).alias("place"))

@@ -47,6 +47,16 @@ def resolved_favourites(favourites: DataFrame, dishes: DataFrame) -> DataFrame:
     return favourites.join(by_key, ["place_id", "dish_key"], "left").withColumn("dish_id", F.coalesce("__by_key", "local_id")).drop("__by_key")
 
 
+def rehydrated(dishes: DataFrame, venues: DataFrame, fields: tuple[str, ...], key: str = "restaurant_id") -> DataFrame:
+    """Compact dishes with their venue's name and ``fields``: what the directory says counts, then what the dish
+    says; a dish without any name of its venue is at a Restaurant."""
+    told = venues.select(F.col("id").alias("__id"), F.col("name").alias("__name"), *[F.col(f).alias(f"__{f}") for f in fields])
+    held = dishes.join(told, F.col(key) == F.col("__id"), "left")
+    own = lambda c: F.col(c) if c in dishes.columns else F.lit(None)
+    out = {"restaurant_name": F.coalesce("__name", own("restaurant_name"), F.lit("Restaurant")), **{f: F.coalesce(f"__{f}", own(f)) for f in fields}}
+    return held.withColumns(out).drop("__id", "__name", *[f"__{f}" for f in fields])
+
+
 def workload(chars: Column) -> Column:
     """Estimated minutes of classifying a menu."""
     return F.when(chars <= 5_000, "<2").when(chars <= 15_000, "2-5").when(chars <= 30_000, "4-8").otherwise("7-12+")

@@ -34,6 +34,24 @@ def identity_columns(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"k_name": canonical_text(F.col("name")), "k_price": price_key(F.col("price")), "k_desc": canonical_text(F.col("raw_description")), "k_cal": canonical_text(F.col("calories"))})
 
 
+_CASED = r"\p{IsUppercase}\p{IsLowercase}\p{Lt}"
+
+
+def display_quality(name: Column) -> Column:
+    """struct; the greater, the easier a spelling is to read: not all in capitals, in title case, no symbol after a
+    space, short."""
+    letters = F.regexp_replace(name, r"\P{L}", "")
+    capitals = (letters == F.upper(letters)) & (letters != F.lower(letters))
+    title = name.rlike("[A-Za-z]") & ~name.rlike(rf"(?<=[{_CASED}])[\p{{IsUppercase}}\p{{Lt}}]|(?<![{_CASED}])\p{{IsLowercase}}")
+    awkward = name.rlike(r"\s+[Ⓥⓥ]$")
+    return F.struct((~capitals).alias("plain"), title.alias("title"), (~awkward).alias("neat"), (-F.length(name)).alias("short"))
+
+
+def preferred_name(first: Column, second: Column) -> Column:
+    """The second spelling if it is easier to read."""
+    return F.when(display_quality(second) > display_quality(first), second).otherwise(first)
+
+
 def compatible(a: tuple, b: tuple) -> bool:
     """Equal name and price; a missing description or calorie text agrees with any."""
     return a[:2] == b[:2] and all(not x or not y or x == y for x, y in zip(a[2:], b[2:], strict=True))
@@ -95,11 +113,16 @@ def compatible_groups(rows: DataFrame, owner: str = "restaurant_id", id_col: str
 
 
 def exact_groups(rows: DataFrame, owner: str = "restaurant_id", id_col: str = "id") -> DataFrame:
-    """(owner, id, survivor): rows with equal identity keys; the smallest id survives."""
+    """(owner, id, survivor, survivor_name): rows of an owner with equal identity keys are one dish.  The first one with the
+    spelling that is easiest to read survives; an aggregate finds it, so copies never meet."""
     keyed = identity_columns(rows)
     keys = [owner, "k_name", "k_price", "k_desc", "k_cal"]
-    first = keyed.groupBy(*keys).agg(F.min(id_col).alias("survivor"))
-    return keyed.join(first, keys).select(owner, id_col, "survivor")
+    best = F.struct(display_quality(F.coalesce("name", F.lit(""))).alias("q"), (-F.col(id_col)).alias("early"))
+    first = keyed.groupBy(*[F.col(k).alias(f"{k}_") for k in keys]).agg(F.max_by(F.struct(F.col(id_col).alias("survivor"), F.col("name").alias("survivor_name")), best).alias("s"))
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"{k}_"))
+    return keyed.join(first, on).select(owner, id_col, "s.survivor", "s.survivor_name")
 
 
 def repoint(rows: DataFrame, fk: str, mapping: DataFrame, id_col: str = "id") -> DataFrame:

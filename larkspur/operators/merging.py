@@ -7,29 +7,13 @@ that is repeated by a third of all rows is never gathered.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .identity import identity_columns
+from .identity import display_quality, identity_columns
 
 #: Fixed value: how many ingredients a merged dish keeps.
 MOST_INGREDIENTS = 8
-_CASED = r"\p{IsUppercase}\p{IsLowercase}\p{Lt}"
-
-
-def display_quality(name: Column) -> Column:
-    """struct; the greater, the easier a spelling is to read: not all in capitals, in title case, no symbol after a
-    space, short."""
-    letters = F.regexp_replace(name, r"\P{L}", "")
-    capitals = (letters == F.upper(letters)) & (letters != F.lower(letters))
-    title = name.rlike("[A-Za-z]") & ~name.rlike(rf"(?<=[{_CASED}])[\p{{IsUppercase}}\p{{Lt}}]|(?<![{_CASED}])\p{{IsLowercase}}")
-    awkward = name.rlike(r"\s+[Ⓥⓥ]$")
-    return F.struct((~capitals).alias("plain"), title.alias("title"), (~awkward).alias("neat"), (-F.length(name)).alias("short"))
-
-
-def preferred_name(first: Column, second: Column) -> Column:
-    """The second spelling if it is easier to read."""
-    return F.when(display_quality(second) > display_quality(first), second).otherwise(first)
 
 
 def merged_dishes(dishes: DataFrame, owner: str = "restaurant_id", place: str = "place") -> DataFrame:

@@ -121,3 +121,16 @@ def pins(dishes: DataFrame, venue: str = "restaurant_id", place: str = "place",
     placed = dishes.where("lat IS NOT NULL AND lng IS NOT NULL")
     first = placed.groupBy(venue).agg(F.min_by(F.struct(*context), place).alias("x"), F.count("*").alias("count"))
     return first.select(venue, "x.*", "count")
+
+
+def run_summary(results: DataFrame, run: str = "run_id") -> DataFrame:
+    """(run, ok, failed, skipped, dishes, cost) of a run's results (status ok, failed or skipped; dishes; cost)."""
+    of = lambda status: F.count(F.when(F.col("status") == status, 1))
+    done = F.col("status") == "ok"
+    return results.groupBy(run).agg(of("ok").alias("ok"), of("failed").alias("failed"), of("skipped").alias("skipped"), F.coalesce(F.sum(F.when(done, F.col("dishes"))), F.lit(0)).alias("dishes"), F.round(F.coalesce(F.sum("cost"), F.lit(0.0)), 2).alias("cost"))
+
+
+def dropped_types(places: DataFrame, food_venue: Column) -> DataFrame:
+    """(primary_type, n) of new places (those without already_added_id) that are no food venues, most first."""
+    dropped = places.where(F.col("already_added_id").isNull() & ~F.coalesce(food_venue, F.lit(False)))
+    return dropped.groupBy(F.coalesce(F.nullif("primary_type", F.lit("")), F.lit("unknown")).alias("primary_type")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "primary_type")

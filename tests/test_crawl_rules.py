@@ -11,8 +11,8 @@ from test_keyed_streams import plain
 
 from larkspur.functions.canonical import canonical_json, menu_fingerprint
 from larkspur.operators.extract import best_sites, common_run, site_score
-from larkspur.operators.identity import canonical
-from larkspur.operators.merging import display_quality, merged_dishes, preferred_name
+from larkspur.operators.identity import canonical, display_quality, preferred_name
+from larkspur.operators.merging import merged_dishes
 from larkspur.operators.script_calls import call_items, script_call_items
 from larkspur.plans.crawl_plans import crawl_rows, q_location_batches, q_sibling_drops
 from larkspur.streaming import urls as url_streams
