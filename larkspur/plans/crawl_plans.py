@@ -13,6 +13,7 @@ from ..operators.script_calls import script_call_items
 from ..sources.tables import table
 from ..streaming.providers import cooldowns, known_answers
 from ..streaming.urls import filtered_batches
+from . import stepwise_sql
 from .registry import query
 
 Spark, Frame = SparkSession, DataFrame
@@ -48,17 +49,17 @@ def crawl_rows(spark: Spark, sf: str) -> Frame:
     address = F.when(c % 7 != 0, F.concat(n, F.lit(" "), F.get(streets, (c % 2).cast("int")), F.lit(" #3, "), F.get(cities, (c % 3).cast("int")), F.lit(", FL 32751, USA")))
     words = F.array(*[F.lit(w) for w in ("winter-park", "maitland", "orlando", "winter-garden", "horatio", "corrine", "dinner", "locations/tampa", "locations/maitland", "77-oak-street", "park")], F.concat(n, F.lit("-horatio-ave")))
     shapes = F.array(*[F.lit(s) for s in ("https://a.example/{}", "https://a.example/{}/menu", "https://b.example/Menus-{}.pdf")])
-    url = F.replace(F.get(shapes, (k % 3).cast("int")), F.lit("{}"), F.get(words, (F.abs(F.xxhash64("o_orderkey")) % 12).cast("int")))
+    url = F.replace(F.get(shapes, (k % 3).cast("int")), F.lit("{}"), F.get(words, ((k * 7919 + c * 31) % 12).cast("int")))
     return table(spark, sf, "orders").select(c.alias("record"), (k % 3).cast("int").alias("batch"), k.alias("place"), url.alias("url"), address.alias("address"))
 
 
-@query()
+@query(stepwise_sql.LOCATION_BATCHES)
 def q_location_batches(spark: Spark, sf: str) -> Frame:
     """The addresses that stay of each record's three batches."""
     return filtered_batches(crawl_rows(spark, sf))
 
 
-@query()
+@query(stepwise_sql.SIBLING_DROPS)
 def q_sibling_drops(spark: Spark, sf: str) -> Frame:
     """Pages that differ from a record's own page in another place."""
     return sibling_drops(crawl_rows(spark, sf), "record")

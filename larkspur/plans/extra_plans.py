@@ -1,4 +1,4 @@
-"""Operators that SQL does not express: their queries have no SQL, and tests hold them to brute force."""
+"""Operators that go step by step; their SQL is in ``stepwise_sql``."""
 
 from __future__ import annotations
 
@@ -11,12 +11,13 @@ from ..operators.finish import keep_pages
 from ..operators.identity import compatible_groups
 from ..operators.locate import filter_urls
 from ..sources.tables import table
+from . import stepwise_sql
 from .registry import query
 
 Spark, Frame = SparkSession, DataFrame
 
 
-@query()
+@query(stepwise_sql.IDENTITY_GROUPS)
 def q_identity_groups(spark: Spark, sf: str) -> Frame:
     """Compatible rows of an owner with their survivor."""
     p = table(spark, sf, "part")
@@ -28,7 +29,7 @@ def q_identity_groups(spark: Spark, sf: str) -> Frame:
     return compatible_groups(rows)
 
 
-@query()
+@query(stepwise_sql.KEEP_PAGES)
 def q_keep_pages(spark: Spark, sf: str) -> Frame:
     """Pages of a source, best first, within a budget."""
     x = menu_signals(F.col("text"), low=F.col("low"))
@@ -37,19 +38,19 @@ def q_keep_pages(spark: Spark, sf: str) -> Frame:
     return keep_pages(scored, "source")
 
 
-@query()
+@query(stepwise_sql.HTML_TEXT)
 def q_html_text(spark: Spark, sf: str) -> Frame:
     """The shown lines of each page."""
     return table(spark, sf, "pages").select("page_id", html_text(F.col("html")).alias("text"))
 
 
-@query()
+@query(stepwise_sql.CHUNKS)
 def q_chunks(spark: Spark, sf: str) -> Frame:
     """Documents in chunks of whole lines."""
     return chunks(table(spark, sf, "documents"), "text", ("doc_id",), target=2000).select("doc_id", "place", F.length("chunk").alias("size"))
 
 
-@query()
+@query(stepwise_sql.HOURS)
 def q_hours(spark: Spark, sf: str) -> Frame:
     """Whether a schedule is open at an instant."""
     k = F.col("s_suppkey")
@@ -59,7 +60,7 @@ def q_hours(spark: Spark, sf: str) -> Frame:
     return rows.select("s_suppkey", "day", "minute", open_state(F.col("hours"), F.col("day"), F.col("minute")).alias("open"))
 
 
-@query()
+@query(stepwise_sql.URL_FILTER)
 def q_url_filter(spark: Spark, sf: str) -> Frame:
     """Other locations' pages go once a record has a page of its own street."""
     k = F.col("s_suppkey")

@@ -16,6 +16,7 @@ from ..operators.locate import filter_pages
 from ..operators.ranks import ranked
 from ..operators.rollups import pins
 from ..sources.tables import table
+from . import stepwise_sql
 from .registry import query
 from .stand_ins import DISHES_SQL, PLACE_SQL, all_dishes, with_place
 
@@ -166,12 +167,8 @@ def q_internal_links(spark: Spark, sf: str) -> Frame:
     return internal_links(table(spark, sf, "pages"), keep=("page_id",)).select("page_id", "address")
 
 
-def _counted(words) -> str:
-    return " + ".join(f"""(length(low) - length(replace(low, '{w}', ''))) // {len(w)}""" for w in words)
-
-
 @query(rf"""WITH t AS (SELECT doc_id, lower(text) AS low, text FROM (SELECT doc_id, text || CASE doc_id % 4 WHEN 0 THEN chr(10) || 'Grilled cheesecake . . . 9' || chr(10) || 'Soup - $4.50 gift cards' || chr(10) || 'onionion tart' ELSE '' END AS text FROM documents WHERE text IS NOT NULL)),
-s AS (SELECT doc_id, {_counted(FOOD_WORDS)} AS food, {" + ".join(f"contains(low, '{w}')::INT" for w in SECTION_WORDS)} AS sections, {_counted(GIFT_WORDS)} AS gifts FROM t)
+s AS (SELECT doc_id, {stepwise_sql.counted(FOOD_WORDS)} AS food, {" + ".join(f"contains(low, '{w}')::INT" for w in SECTION_WORDS)} AS sections, {stepwise_sql.counted(GIFT_WORDS)} AS gifts FROM t)
 SELECT doc_id, CAST(food AS INTEGER) AS food, sections, CAST(gifts AS INTEGER) AS gifts FROM s""")
 def q_menu_words(spark: Spark, sf: str) -> Frame:
     """The counts of all menu words in each text."""
@@ -199,7 +196,7 @@ def dish_rows(spark: Spark, sf: str) -> Frame:
         F.when(size % 4 == 1, "hot").when(size % 4 == 2, "HOT!").when(size % 4 == 3, "mild").alias("raw_description"), F.when(k % 5 == 0, "90 cal").when(k % 5 == 1, "80 cal").alias("calories"), (size % 7).cast("long").alias("latest_cls"))
 
 
-@query()
+@query(stepwise_sql.UPSERT_DISHES)
 def q_upsert_dishes(spark: Spark, sf: str) -> Frame:
     """What happens to each captured dish, a third of the parts, against the others."""
     rows = dish_rows(spark, sf)
