@@ -7,12 +7,13 @@ initial symbols minus merges: no identifiers are looked up or emitted.
 
 from __future__ import annotations
 
+from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import Vocabulary, is_loose, loose_units, units, vocabulary, vocabulary_path
+from .bpe import Vocabulary, distinct_units, is_loose, loose_units, text_chunks, units, vocabulary, vocabulary_path
 from .common import Memo, table
 
 
@@ -64,6 +65,23 @@ class TokenCounter:
         first, rest = units(text)
         return self.heads[first] + sum(map(self.spaced.__getitem__, rest))
 
+    def counts(self, texts):
+        """The counts of an Arrow array of texts; null: 0.  A distinct unit of a chunk is looked up once."""
+        import numpy as np
+
+        out = [np.zeros(0, np.int64)]
+        for chunk in text_chunks(texts):
+            names, extra, codes, bounds = distinct_units(chunk)
+            size = np.asarray([*map(self.spaced.__getitem__, names.to_pylist()), *map(self.heads.__getitem__, extra)], np.int64)
+            out.append(np.diff(np.concatenate([[0], np.cumsum(size[codes])])[bounds]))
+        return np.concatenate(out)
+
+
+@lru_cache(maxsize=2)
+def counter(path: str) -> TokenCounter:
+    """One counter for each worker process: its memo tables, which are bounded, serve all tasks of the worker."""
+    return TokenCounter(vocabulary(path))
+
 
 def token_counts(docs: DataFrame, vocabulary_file: str = "byte_bpe_50k.json", limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` for each row of ``docs``, without a shuffle.
@@ -76,10 +94,9 @@ def token_counts(docs: DataFrame, vocabulary_file: str = "byte_bpe_50k.json", li
     path = vocabulary_path(vocabulary_file)
 
     def count(batches):
-        own = TokenCounter(vocabulary(path))  # its memo tables end with the task
+        own = counter(path)
         for batch in batches:
-            tokens = [own.count(t) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tokens, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own.counts(batch.column(2)), pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
