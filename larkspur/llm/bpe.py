@@ -23,6 +23,11 @@ _WORD_PARTS = [
     ("Split", {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "Removed", True, None, None),
     ("ByteLevel", None, None, None, False, False),
 ]
+#: Of texts without odd characters a word vocabulary's pre-tokens are runs of letters, digits one by one, and runs of
+#: marks.  Apostrophes (contractions) and < (added tokens) are odd, and so is what a normaliser could change.
+_ANY_MARKS = re.escape("!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~")
+ODD_CHARACTER = re.compile(rf"[^{LETTERS}0-9{_ANY_MARKS} \n]")
+COMMON_WORD = re.compile(rf"[{LETTERS}]+|[0-9]|[{_ANY_MARKS}]+")
 _PLAIN_WORDS = re.compile(rf"[{LETTERS}]+|[{MARKS}]+|[ \n]+")
 
 

@@ -7,13 +7,14 @@ three leaves, each in logarithmic time, and merging ends when the root holds no
 
 from __future__ import annotations
 
+from functools import lru_cache
 from hashlib import sha256
 from itertools import pairwise
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import Vocabulary, vocabulary, vocabulary_path
+from .bpe import COMMON_WORD, ODD_CHARACTER, Vocabulary, vocabulary, vocabulary_path
 from .common import Memo, table
 
 
@@ -25,11 +26,13 @@ def merged_symbols(symbols: list[str], ranks: dict[tuple[str, str], int]) -> lis
     none = len(ranks)
     size = 1 << (n - 1).bit_length()
     get = ranks.get
-    tree = [none] * size + [get(pair, none) for pair in pairwise(symbols)]
-    tree += [none] * (2 * size - len(tree))
-    for node in range(size - 1, 0, -1):
-        a, b = tree[2 * node], tree[2 * node + 1]
-        tree[node] = a if a <= b else b
+    level = [get(pair, none) for pair in pairwise(symbols)]
+    level += [none] * (size - len(level))
+    levels = [level]
+    while len(level) > 1:
+        level = list(map(min, level[::2], level[1::2]))
+        levels.append(level)
+    tree = [none, *(x for level in reversed(levels) for x in level)]
 
     def put(node: int, rank: int) -> None:
         if tree[node] == rank:
@@ -75,6 +78,7 @@ class Codec:
         self.vocab = vocab
         self.units = Memo(self._unit, 100_000)
         self.plain = Memo(lambda part: self._entry(self._merged(vocab.letters(part))), 100_000)
+        self.words = Memo(lambda part: self._entry(self._merged(vocab.letters(part)))[1:], 300_000)
 
     def _merged(self, letters: str) -> list[int]:
         vocab = self.vocab
@@ -113,6 +117,23 @@ class Codec:
         found = [x for x in map(self.units.__getitem__, (text or "").split(" ")) if x[0]]
         return sum(x[0] for x in found), " ".join([x[1] for x in found]), " ".join([x[2] for x in found])
 
+    def all_encoded(self, texts):
+        """(count, identifiers as decimal text, decoded text) of each of some texts; null: empty.  Texts of common characters
+        alone are cut into pre-tokens by one match each, all others unit by unit."""
+        for text in texts:
+            if not text or ODD_CHARACTER.search(text):
+                yield self.encoded(text)
+                continue
+            found = list(map(self.words.__getitem__, COMMON_WORD.findall(text.lower())))
+            ids = " ".join([x[0] for x in found])
+            yield ids.count(" ") + 1 if ids else 0, ids, " ".join([x[1] for x in found])
+
+
+@lru_cache(maxsize=2)
+def codec(path: str) -> Codec:
+    """One codec for each worker process: its memo tables, which are bounded, serve all tasks of the worker."""
+    return Codec(vocabulary(path))
+
 
 def encode_documents(docs: DataFrame, vocabulary_file: str = "word_bpe_49k.json", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_tokens, ids`` for each row of ``docs``, without a shuffle.
@@ -125,7 +146,7 @@ def encode_documents(docs: DataFrame, vocabulary_file: str = "word_bpe_49k.json"
     path = vocabulary_path(vocabulary_file)
 
     def encode(batches):
-        own = Codec(vocabulary(path))  # its memo tables end with the task
+        own = codec(path)
         for batch in batches:
             ids = [own.encode(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "n_tokens", "ids"])
@@ -141,7 +162,7 @@ def decode_ids(encoded: DataFrame, vocabulary_file: str = "word_bpe_49k.json") -
     path = vocabulary_path(vocabulary_file)
 
     def decode(batches):
-        own = Codec(vocabulary(path))  # its memo tables end with the task
+        own = codec(path)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.decode(x or []) for x in batch.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
 
@@ -157,11 +178,10 @@ def encoded_digests(docs: DataFrame, vocabulary_file: str = "word_bpe_49k.json",
     path = vocabulary_path(vocabulary_file)
 
     def digest(batches):
-        own = Codec(vocabulary(path))  # its memo tables end with the task
+        own = codec(path)
         for batch in batches:
             counts, ids, decoded = [], [], []
-            for text in batch.column(1).to_pylist():
-                n, a, b = own.encoded(text)
+            for n, a, b in own.all_encoded(batch.column(1).to_pylist()):
                 counts.append(n)
                 ids.append(sha256(a.encode()).hexdigest())
                 decoded.append(sha256(b.encode()).hexdigest())

@@ -21,3 +21,14 @@ def test_texts_without_spaces_are_not_remembered():
     for memo in (counter.pre_tokens, counter.heads, counter.spaced, codec.units, codec.plain):
         assert sum(len(k) for k in memo) <= Memo.LONGEST * len(memo)
     assert not codec.units and not counter.heads
+
+
+def test_common_and_odd_texts_are_encoded_as_by_the_library():
+    import random
+
+    codec, rnd = Codec(vocabulary(vocabulary_path("word_bpe_49k.json"))), random.Random(6)
+    library = codec.vocab.library
+    pieces = ["Straße", "ÀÉÎ", "don't", "it's'd", "<|endoftext|>", "a<b", "x_y", "\\", '"quoted"', "--->", "3.14", "007", "e-mail@x.org", "#1!", "…", "日本", "ª", "­", "\t", "\r\n", "\n", " ", "  ", "[]{}~`^", "É́", "ﬁ", "İ"]
+    texts = [None, "", *pieces, *("".join(rnd.choice(pieces) + rnd.choice(["", " ", "\n"]) for _ in range(12)) for _ in range(300))]
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert list(codec.all_encoded(texts)) == [(len(i), " ".join(map(str, i)), library.decode(i, skip_special_tokens=False)) for i in want]
