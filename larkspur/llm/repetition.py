@@ -157,4 +157,6 @@ def repetition_rules(
 
 
 def op4_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept`` of all documents; a null or
+    empty text has no words and fails the base."""
     return repetition_rules(table(spark, sf_dir, "documents"))

@@ -195,6 +195,8 @@ def read_warc(spark: SparkSession, out: str, names: list[str], with_payload: boo
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``page_id, payload_bytes, payload_digest, record_type, refers_to`` of all pages, read back from the archives that
+    were written of them; a null page has an empty payload, and pages of equal payload revisit the largest id."""
     out = new_path(spark, "warc")
     return read_warc(spark, out, write_warc(table(spark, sf_dir, "pages"), out), with_payload=False)
 
