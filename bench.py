@@ -6,7 +6,7 @@ import json
 import os
 import time
 
-HEADLINE = ("q_score", "q_counts", "q_latest_event", "q_full_diff", "q_votes", "q_failures", "q_rate_limit", "q_interleave", "q_filter", "q_relevance", "q_scalar_subq", "q_findings", "q_menu_score", "q_dup_content", "q_hash_pages", "q_links", "q_cluster")
+HEADLINE = ("q_score_whole", "q_counts_whole", "q_latest_event", "q_full_diff", "q_votes", "q_failures", "q_rate_limit", "q_interleave_whole", "q_filter_whole", "q_relevance", "q_scalar_subq", "q_findings", "q_menu_score", "q_dup_content", "q_hash_pages", "q_links", "q_cluster")
 
 
 def main() -> None:

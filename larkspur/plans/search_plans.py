@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -94,8 +94,8 @@ QUALIFY count(*) OVER (PARTITION BY restaurant_id, id) = 1""")
 def q_interleave(spark: Spark, sf: str, rows=dishes) -> Frame:
     """The turn of each row among those of its venue, tier and role."""
     found = rows(spark, sf).withColumns({"id": F.col("l_orderkey") * 1000000 + F.col("l_partkey") * 10 + F.col("l_linenumber"), "rating": F.lit(None).cast("double")})
-    once = found.groupBy("restaurant_id", "id").agg(F.count("*").alias("c")).where("c = 1").drop("c")
-    return interleave(found).join(once, ["restaurant_id", "id"], "left_semi").select("id", "tier", "role", "occ")
+    same = F.count("*").over(Window.partitionBy("restaurant_id", "id"))
+    return interleave(found.withColumn("same", same)).where("same = 1").select("id", "tier", "role", "occ")
 
 
 @query("""SELECT p_partkey, CAST(regexp_extract('$' || p_size || '.' || lpad((p_partkey % 100)::VARCHAR, 2, '0') || ' / $' || p_partkey, '[0-9]{1,3}(?:\\.[0-9]{1,2})?') AS DOUBLE) AS first_price,
