@@ -28,6 +28,10 @@ TRAILING_PRICE = r"(?m)(?:\s[-–—]\s?|\.{2,}\s?|\.\s\.\s)(\d{1,3})(?:\.\d{2})
 # -----------------------------------------------------------------------------------------------------
 
 
+#: Up to so many words, a pass for each is faster than one for all.
+SHORT_LIST = 8
+
+
 def _tree(words: list[str]) -> str:
     """A pattern that matches where one of the words begins, by their common beginnings."""
     heads: dict[str, list[str]] = {}
@@ -40,9 +44,10 @@ def _tree(words: list[str]) -> str:
 
 def substring_hits(low: Column, words: tuple[str, ...]) -> Column:
     """Occurrences of all words as substrings, not as whole words.  One pass finds the places where words begin; a word that
-    begins with another is counted besides, and one that can overlap itself is counted by what is left without it."""
+    begins with another is counted besides, and one that can overlap itself is counted by what is left without it, as
+    are all of a short list."""
     once = list(dict.fromkeys(words))
-    looped = [w for w in once if any(w.startswith(w[k:]) for k in range(1, len(w)))]
+    looped = [w for w in once if len(once) <= SHORT_LIST or any(w.startswith(w[k:]) for k in range(1, len(w)))]
     told = [w for w in once if w not in looped]
     total = F.lit(0)
     if told:
@@ -69,7 +74,8 @@ def menu_signals(text: Column, food: tuple[str, ...] = FOOD_WORDS, sections: tup
     low = F.lower(text) if low is None else low
     lines = F.filter(F.transform(split_lines(text), stripped), lambda x: x != "")
     return {
-        "prices": (F.regexp_count(text, F.lit(PRICE)) + F.regexp_count(text, F.lit(TRAILING_PRICE))).cast("int"),
+        # no price without a digit; null texts have no count
+        "prices": F.when(~text.rlike("[0-9]"), 0).otherwise(F.regexp_count(text, F.lit(PRICE)) + F.regexp_count(text, F.lit(TRAILING_PRICE))).cast("int"),
         "food": substring_hits(low, food),
         "sections": present(low, sections),
         "gifts": substring_hits(low, GIFT_WORDS),
