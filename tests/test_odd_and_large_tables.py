@@ -20,3 +20,8 @@ def same_as_sql(spark, folder, query, **tables):
 def test_references_without_a_semicolon(spark, tmp_path):
     html = ["<h1>des&amp</h1><p>a &lt b &amp; c&amp;lt; &&&amp", "<p>AT&amp;T</p>x&gt", None]
     assert len(same_as_sql(spark, tmp_path, "q_html_text", pages={"page_id": [1, 2, 3], "html": html})) == 3
+
+
+def test_single_characters_by_chance(spark, tmp_path):
+    text = ["a line\nE y o a u e ou\nb", "1 2 3 4 5 6 7\nx y z\n\nspread letters", "a b c", "", None]
+    assert len(same_as_sql(spark, tmp_path, "q_letters_joined", documents={"doc_id": [1, 2, 3, 4, 5], "text": text})) == 4
