@@ -92,11 +92,16 @@ def new_lines(before: Column, after: Column) -> Column:
 def reattached_prices(words: DataFrame) -> DataFrame:
     """(line, price) of boxes (page, id, kind 'text' or 'price', left, top, bottom, value): each price goes
     to the text left of it with the largest vertical overlap, of at least half its height; ties to the
-    first.  Boxes meet by page and by the bands of their height, not all with all."""
-    band = 64
-    spread = lambda kind: words.where(F.col("kind") == kind).withColumn("band", F.explode(F.sequence(F.floor(F.col("top") / band), F.floor(F.col("bottom") / band))))
-    t, p = spread("text").alias("t"), spread("price").alias("p")
+    first.  Boxes meet by page and by the bands of their height, not all with all.  Of texts in the same place the
+    first can win alone, and prices in the same place have one text, so each place meets others once."""
+    band, place = 64, ("page", "left", "top", "bottom")
+    spread = lambda rows: rows.withColumn("band", F.explode(F.sequence(F.floor(F.col("top") / band), F.floor(F.col("bottom") / band))))
+    texts = words.where("kind = 'text'").groupBy(*place).agg(F.min("id").alias("id"), F.min_by("value", "id").alias("value"))
+    prices = words.where("kind = 'price'").select(*place, "id", "value")
+    t, p = spread(texts).alias("t"), spread(prices.select(*place).distinct()).alias("p")
     both = t.join(p, F.expr("t.page = p.page AND t.band = p.band AND t.left < p.left"))
     overlap = F.least("t.bottom", "p.bottom") - F.greatest("t.top", "p.top")
-    close = both.where(overlap * 2 >= F.col("p.bottom") - F.col("p.top")).select("p.page", F.col("p.id").alias("price_id"), F.struct(overlap.alias("o"), (-F.col("t.id")).alias("n")).alias("k"), F.col("t.value").alias("line"), F.col("p.value").alias("price"))
-    return close.groupBy("page", "price_id").agg(F.max_by(F.struct("line", "price"), "k").alias("x")).select("page", "price_id", "x.line", "x.price")
+    close = both.where(overlap * 2 >= F.col("p.bottom") - F.col("p.top")).select("p.*", F.struct(overlap.alias("o"), (-F.col("t.id")).alias("n")).alias("k"), F.col("t.value").alias("line"))
+    best = close.groupBy(*place).agg(F.max_by(F.struct("k", "line"), "k").alias("x"))
+    found = prices.join(best, list(place)).select("page", F.col("id").alias("price_id"), "x.k", "x.line", F.col("value").alias("price"))
+    return found.groupBy("page", "price_id").agg(F.max_by(F.struct("line", "price"), "k").alias("x")).select("page", "price_id", "x.line", "x.price")

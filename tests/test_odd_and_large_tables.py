@@ -1,8 +1,12 @@
 """Queries against their SQL on rows that the test tables lack, and operators on many rows of one place."""
 
+import time
+
 import duckdb
 import pandas as pd
+from pyspark.sql import functions as F
 
+from larkspur.operators.community import reattached_prices
 from larkspur.plans.all import QUERIES, SQL
 
 
@@ -25,3 +29,12 @@ def test_references_without_a_semicolon(spark, tmp_path):
 def test_single_characters_by_chance(spark, tmp_path):
     text = ["a line\nE y o a u e ou\nb", "1 2 3 4 5 6 7\nx y z\n\nspread letters", "a b c", "", None]
     assert len(same_as_sql(spark, tmp_path, "q_letters_joined", documents={"doc_id": [1, 2, 3, 4, 5], "text": text})) == 4
+
+
+def test_prices_of_one_place(spark):
+    """Texts and prices in the same place meet others once: 100,000 boxes of one page are no 2,500,000,000 pairs."""
+    rows = spark.range(100_000).selectExpr("0 AS page", "id", "if(id % 2 = 0, 'text', 'price') AS kind", "if(id % 2 = 0, 1, 5) AS left", "id % 4 AS top", "id % 4 + 20 AS bottom", "cast(id AS string) AS value")
+    start = time.monotonic()
+    got = reattached_prices(rows).groupBy("line", F.expr("price_id % 4").alias("k"), F.expr("price = price_id").alias("own")).count().collect()
+    assert sorted(map(tuple, got)) == [("0", 1, True, 25_000), ("2", 3, True, 25_000)]
+    assert time.monotonic() - start < 60
