@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,6 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are worked out once a row.  A projection's expressions are written again into each filter
+    and column that reads them, as often as these name them; what ``explode`` returns is not."""
+    for name, column in columns.items():
+        df = df.withColumn(name, F.explode(F.array(column)))
+    return df
+
+
 def settled(df: DataFrame) -> DataFrame:
     """``df`` computed once and held in the session's checkpoint folder, so that lineage ends there.  The folder is
     what ``spark.checkpoint.dir`` names; only ``local[...]`` masters may go without."""

@@ -4,10 +4,13 @@ import time
 
 import duckdb
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
+from larkspur.operators import finish
 from larkspur.operators.community import reattached_prices
 from larkspur.plans.all import QUERIES, SQL
+from larkspur.sources.tables import settled
 
 
 def same_as_sql(spark, folder, query, **tables):
@@ -38,3 +41,28 @@ def test_prices_of_one_place(spark):
     got = reattached_prices(rows).groupBy("line", F.expr("price_id % 4").alias("k"), F.expr("price = price_id").alias("own")).count().collect()
     assert sorted(map(tuple, got)) == [("0", 1, True, 25_000), ("2", 3, True, 25_000)]
     assert time.monotonic() - start < 60
+
+
+def optimized(df, capsys) -> str:
+    df.explain("extended")
+    return capsys.readouterr().out.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+
+
+@pytest.mark.parametrize(("name", "step"), [("q_protein_breakfasts", "translate(lower("), ("q_script_menus", "[^A-Za-z0-9]+"), ("q_ld_menus", "[^A-Za-z0-9]+"), ("q_state_menus", "[^A-Za-z0-9]+"), ("q_script_calls", "([A-Za-z]+)")])
+def test_dear_steps_stand_once(spark, capsys, name, step):
+    """A projection's expressions are written again into every filter and column that reads them."""
+    assert optimized(QUERIES[name](spark, "/root/testdata/sf0.001"), capsys).count(step) == 1
+
+
+def test_pages_are_scored_once(spark, capsys, monkeypatch):
+    plans = []
+    monkeypatch.setattr(finish, "settled", lambda df: plans.append(optimized(df, capsys)) or settled(df))
+    QUERIES["q_keep_pages"](spark, "/root/testdata/sf0.001")
+    assert [p.count("[-–—]") for p in plans] == [1] + [0] * (len(plans) - 1)
+
+
+@pytest.mark.parametrize("name", ["q_menu_links", "q_state_menus", "q_serialized_links", "q_unescaped", "q_html_text"])
+def test_long_texts_go_to_python_by_the_hundred(spark, capsys, name):
+    """Batches of ten thousand rows hold addresses at most."""
+    plan = optimized(QUERIES[name](spark, "/root/testdata/sf0.001"), capsys)
+    assert "BatchEvalPython" in plan and plan.count("ArrowEvalPython") == plan.count("ArrowEvalPython [joined(")
