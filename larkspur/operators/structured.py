@@ -11,11 +11,11 @@ import re
 from bisect import bisect_left
 from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import squeezed, stripped
+from ..sources.tables import computed
 
 # --- fixed values: keys and limits of data menus ---------------------------------------------------------
 MENU_TYPES = ("Menu", "hasMenu")
@@ -258,11 +258,8 @@ def state_entries(values) -> list[dict]:
 
 
 def _read(reader):
-    @F.pandas_udf(f"array<{ENTRY}>")
-    def entries(s: pd.Series) -> pd.Series:
-        return s.map(reader)
-
-    return entries
+    """Pages are long and entries many, so rows go to Python by the hundred, not by the ten thousand."""
+    return F.udf(reader, f"array<{ENTRY}>", useArrow=False)
 
 
 def menu_line(name: Column, description: Column, price: Column) -> Column:
@@ -283,21 +280,21 @@ def _distinct_lines(rows: DataFrame, entries: str) -> DataFrame:
     """``lines`` of ``entries`` without items that repeat an earlier item's line, and ``n`` items.  Headings are told
     apart by their places, so that one look-up of strings finds all first lines."""
     marked = F.transform(entries, lambda e, i: F.concat(F.when(e["kind"] == "item", "i").otherwise(F.concat(F.lit("h"), i.cast("string"))), F.lit(":"), _line(e)))
-    rows = rows.withColumn("marked", F.array_distinct(marked))
+    rows = computed(rows, marked=F.array_distinct(marked))
     return rows.withColumns({"lines": F.transform("marked", lambda m: F.regexp_replace(m, r"^(i|h\d+):", "")), "n": F.size(F.filter("marked", lambda m: m.startswith("i")))})
 
 
 def structured_text(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = (), least: int = LEAST_ITEMS) -> DataFrame:
     """(keep..., origin, items, text) of the pages that carry a menu of ``least`` items or more as data: that of
     their JSON-LD (``json_ld``), else that of their scripts (``embedded``).  Null pages have none."""
-    held = pages.select(*keep, F.col(html).alias("page"))
+    held = computed(pages.select(*keep, F.col(html).alias("page")), page=F.col("page"))
     marked = held.where(F.col("page").contains("<script"))
     ld = _distinct_lines(marked.withColumn("entries", _read(json_ld_entries)(F.when(F.col("page").contains("@type"), F.col("page")))), "entries")
-    ld = ld.select(*keep, "page", F.when(F.col("n") >= least, F.struct(F.lit("json_ld").alias("origin"), F.col("n").alias("items"), F.array_join("lines", "\n").alias("text"))).alias("found"))
+    found = lambda origin: F.when(F.col("n") >= least, F.struct(F.lit(origin).alias("origin"), F.col("n").alias("items"), F.array_join("lines", "\n").alias("text")))
+    ld = computed(ld, found=found("json_ld")).select(*keep, "page", "found")
     rest = F.when(F.col("found").isNull() & F.col("page").contains("rice"), F.col("page"))
     both = _distinct_lines(ld.withColumn("entries", _read(embedded_entries)(rest)), "entries")
-    other = F.when(F.col("n") >= least, F.struct(F.lit("embedded").alias("origin"), F.col("n").alias("items"), F.array_join("lines", "\n").alias("text")))
-    return both.select(*keep, F.coalesce("found", other).alias("found")).where("found IS NOT NULL").select(*keep, "found.*")
+    return computed(both, found=F.coalesce("found", found("embedded"))).where("found IS NOT NULL").select(*keep, "found.*")
 
 
 def state_text(rows: DataFrame, values: str, keep: tuple[str, ...] = (), least: int = LEAST_ITEMS) -> DataFrame:

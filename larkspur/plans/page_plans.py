@@ -9,7 +9,7 @@ from ..functions.text import stripped
 from ..operators.finish import finished
 from ..operators.structured import state_text, structured_text
 from ..operators.weblinks import EXTERNAL_LABEL_HINTS, EXTERNAL_URL_HINTS, MENU_HINTS, ORDERING_HOSTS, SKIP_HINTS, frontier, menu_images, menu_links, pdf_files, serialized_links, visit_key
-from ..sources.tables import table
+from ..sources.tables import computed, table
 from .registry import query
 
 Spark, Frame = SparkSession, DataFrame
@@ -55,11 +55,12 @@ GROUP BY f.doc_id HAVING count(*) >= 8""")
 def q_script_menus(spark: Spark, sf: str) -> Frame:
     """Each document's lines as name and price keys in a script, plain or escaped, read back as menu text."""
     one = lambda name, k: F.concat(F.lit('"itemName":"'), name, F.when(k % 2 == 0, '","description":"quite   hot').otherwise(""), F.lit('","price":"'), (k % 9).cast("string"), F.lit('.5",'))
-    body = F.array_join(F.transform(_lines(), one), "")
+    docs = computed(table(spark, sf, "documents").where("text IS NOT NULL"), body=F.array_join(F.transform(_lines(), one), ""))
+    body = F.col("body")
     script = F.concat(F.lit("{"), F.when(F.col("doc_id") % 2 == 0, body).otherwise(F.replace(body, F.lit('"'), F.lit('\\"'))), F.lit("}"))
     # whether a script is long enough is asked of its plain form, so that both forms have one SQL
     sized = F.when(F.length(body) + 2 >= 2000, F.concat(F.lit("<script>"), script, F.lit("</script>")))
-    docs = table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", sized.alias("html"))
+    docs = docs.select("doc_id", sized.alias("html"))
     return structured_text(docs, keep=("doc_id",)).where("origin = 'embedded'").select("doc_id", "items", F.sha2("text", 256).alias("text"))
 
 
@@ -88,7 +89,8 @@ def q_state_menus(spark: Spark, sf: str) -> Frame:
     # groups of five, every other one in a branch of its own: {"en": [{"items": [...]}, {"x": {...}}, {"name": "part 1", "items": [...]}]}
     group = lambda g: F.struct(F.when(g % 2 == 1, F.concat(F.lit("part "), c(g))).alias("name"), F.slice("items", g * 5 + 1, F.lit(5)).alias("items"))
     state = F.to_json(F.struct(F.struct(F.create_map("lang", F.transform(steps, group)).alias("menus")).alias("data"), F.lit("x" * 100).alias("pad")))
-    docs = table(spark, sf, "documents").where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "lang", items.alias("items")).select("doc_id", F.array(F.lit("junk"), state).alias("values"))
+    docs = table(spark, sf, "documents").where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "lang", items.alias("items"))
+    docs = computed(docs, items=F.col("items")).select("doc_id", F.array(F.lit("junk"), state).alias("values"))
     out = state_text(docs, "values", ("doc_id",))
     return out.select("doc_id", "products", "categories", F.sha2("text", 256).alias("text"))
 
