@@ -95,11 +95,8 @@ ELEMENT = "struct<kind: string, label: string, written: string, address: string>
 
 
 def page_elements(html: Column, url: Column) -> Column:
-    @F.pandas_udf(f"array<{ELEMENT}>")
-    def read(h: pd.Series, u: pd.Series) -> pd.Series:
-        return pd.Series([elements(x, y) for x, y in zip(h, u, strict=True)])
-
-    return read(html, url)
+    """Pages are long and elements many, so rows go to Python by the hundred, not by the ten thousand."""
+    return F.udf(elements, f"array<{ELEMENT}>", useArrow=False)(html, url)
 
 
 def resolved(base: Column, address: Column) -> Column:
@@ -165,10 +162,7 @@ def visit_key(address: Column) -> Column:
 
 def decoded_markup(markup: Column) -> Column:
     """Markup with HTML references and escaped slashes and ampersands decoded."""
-    @F.pandas_udf("string")
-    def plain(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else html_lib.unescape(x))
-
+    plain = F.udf(lambda x: None if x is None else html_lib.unescape(x), "string", useArrow=False)
     text = F.when(markup.contains("&"), plain(markup)).otherwise(markup)
     return F.replace(F.replace(text, F.lit("\\/"), F.lit("/")), F.lit("\\u0026"), F.lit("&"))
 
