@@ -33,6 +33,7 @@ def chosen_pages(pages: DataFrame, key: str, page: str, text: str, order: list[C
     apart.  Null texts aren't taken; null keys are a key.  A key without a page to take has no row.
     """
     left = pages.select(F.col(key).alias("k"), F.struct(*order).alias("o"), F.col(page).alias("page"), F.col(text).alias("text")).where(F.length("text") >= least)
+    left = settled(left)  # the first round reads it twice
     one = f"struct<page: {left.schema['page'].dataType.simpleString()}, text: string>"
     none = F.struct(F.lit(0).cast("long").alias("total"), F.array().cast(f"array<{one}>").alias("kept"))
     shape = f"struct<total: bigint, kept: array<{one}>>"
