@@ -10,7 +10,9 @@ from __future__ import annotations
 import json
 import os
 import re
-from functools import lru_cache
+from functools import cached_property
+
+from .common import worker_cache
 
 _SPACE_AFTER_SPACE = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S)(?= )")
@@ -40,7 +42,7 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-@lru_cache(maxsize=4)
+@worker_cache(maxsize=4)
 def library_tokenizer(path: str):
     """The tokenizers library's own tokenizer of a vocabulary file, in this process alone."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -79,12 +81,15 @@ class Vocabulary:
         self.texts = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.added.items()}
         self._added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self._letters = {b: c for b, c in byte_letters().items()}
-        self.library = library_tokenizer(path)
-        normaliser = spec.get("normalizer")
-        self._normalise = self.library.normalizer.normalize_str if normaliser else None
+        self._normalises = bool(spec.get("normalizer"))
         self.drops_space = bool(self.word_end)
         self.rules = self._rules(spec)
 
+    @cached_property
+    def library(self):
+        """The library's tokenizer, loaded for the first text that needs it: it is as large as all the rest."""
+        return library_tokenizer(self.path)
+
     def _rules(self, spec: dict) -> str | None:
         """Which splitting rules the file states, if they are ones that allow cutting texts at spaces: the
         bytes with their spaces, or words without; None for any other file."""
@@ -108,7 +113,7 @@ class Vocabulary:
         for any other unit.  For a vocabulary that normalises, in their normal form."""
         if self.rules is None:
             return None
-        if self._normalise is not None:
+        if self._normalises:
             found = _PLAIN_WORDS.findall(unit)
             return [f.lower() for f in found if f[0] not in " \n"] if sum(map(len, found)) == len(unit) else None
         found = _PLAIN.findall(unit)
@@ -127,8 +132,8 @@ class Vocabulary:
             if part in self.added:
                 yield part, None
                 continue
-            if self._normalise is not None:
-                part = self._normalise(part)
+            if self._normalises:
+                part = self.library.normalizer.normalize_str(part)
             for letters, _ in self.library.pre_tokenizer.pre_tokenize_str(part):
                 yield None, letters
 
@@ -140,7 +145,7 @@ class Vocabulary:
         return out
 
 
-@lru_cache(maxsize=4)
+@worker_cache(maxsize=4)
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 

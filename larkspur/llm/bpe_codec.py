@@ -7,7 +7,6 @@ three leaves, each in logarithmic time, and merging ends when the root holds no
 
 from __future__ import annotations
 
-from functools import lru_cache
 from hashlib import sha256
 from itertools import pairwise
 
@@ -15,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import COMMON_WORD, ODD_CHARACTER, Vocabulary, vocabulary, vocabulary_path
-from .common import Memo, table
+from .common import Memo, each, let_go, table, worker_cache
 
 
 def merged_symbols(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
@@ -76,9 +75,11 @@ class Codec:
         if vocab.rules != "words":
             raise ValueError("this codec splits texts at spaces, which the vocabulary must drop, by rules it must know")
         self.vocab = vocab
+        # identifiers alone, as decimal text: these tables are most of a worker's memory, and names decode them fast
         self.units = Memo(self._unit, 100_000)
-        self.plain = Memo(lambda part: self._entry(self._merged(vocab.letters(part))), 100_000)
-        self.words = Memo(lambda part: self._entry(self._merged(vocab.letters(part)))[1:], 300_000)
+        self.words = Memo(lambda part: self._text(self._merged(vocab.letters(part))), 300_000)
+        self.plain = self.words  # pre-tokens of units are words, too
+        self.names = {str(i): t for i, t in vocab.texts.items()}
 
     def _merged(self, letters: str) -> list[int]:
         vocab = self.vocab
@@ -90,21 +91,17 @@ class Codec:
             ids += [self.vocab.added[token]] if token else self._merged(letters)
         return ids
 
-    def _entry(self, ids: list[int]) -> tuple[int, str, str]:
-        return len(ids), " ".join(map(str, ids)), self.decode(ids)
+    @staticmethod
+    def _text(ids: list[int]) -> str:
+        return " ".join(map(str, ids))
 
-    def _unit(self, unit: str) -> tuple[int, str, str]:
+    def _unit(self, unit: str) -> str:
         parts = self.vocab.plain(unit)
-        if parts is None:
-            return self._entry(self._ids(unit))
-        if len(parts) == 1:
-            return self.plain[parts[0]]
-        found = [self.plain[p] for p in parts]
-        return sum(x[0] for x in found), " ".join([x[1] for x in found]), " ".join([x[2] for x in found])
+        return self._text(self._ids(unit)) if parts is None else " ".join(map(self.plain.__getitem__, parts))
 
     def encode(self, text: str | None) -> list[int]:
         """The identifiers of a text; none for null and for empty texts."""
-        return [int(i) for unit in (text or "").split(" ") if unit for i in self.units[unit][1].split()]
+        return [int(i) for unit in (text or "").split(" ") if unit for i in self.units[unit].split()]
 
     def decode(self, ids: list[int]) -> str:
         """Token strings joined by spaces, as the library decodes where a vocabulary names no decoder;
@@ -114,8 +111,11 @@ class Codec:
 
     def encoded(self, text: str | None) -> tuple[int, str, str]:
         """(count, identifiers as decimal text, decoded text)."""
-        found = [x for x in map(self.units.__getitem__, (text or "").split(" ")) if x[0]]
-        return sum(x[0] for x in found), " ".join([x[1] for x in found]), " ".join([x[2] for x in found])
+        return self._decoded(" ".join(filter(None, map(self.units.__getitem__, (text or "").split(" ")))))
+
+    def _decoded(self, ids: str) -> tuple[int, str, str]:
+        found = ids.split()
+        return len(found), ids, " ".join(map(self.names.__getitem__, found))
 
     def all_encoded(self, texts):
         """(count, identifiers as decimal text, decoded text) of each of some texts; null: empty.  Texts of common characters
@@ -124,12 +124,10 @@ class Codec:
             if not text or ODD_CHARACTER.search(text):
                 yield self.encoded(text)
                 continue
-            found = list(map(self.words.__getitem__, COMMON_WORD.findall(text.lower())))
-            ids = " ".join([x[0] for x in found])
-            yield ids.count(" ") + 1 if ids else 0, ids, " ".join([x[1] for x in found])
+            yield self._decoded(" ".join(map(self.words.__getitem__, COMMON_WORD.findall(text.lower()))))
 
 
-@lru_cache(maxsize=2)
+@worker_cache(maxsize=2)
 def codec(path: str) -> Codec:
     """One codec for each worker process: its memo tables, which are bounded, serve all tasks of the worker."""
     return Codec(vocabulary(path))
@@ -146,6 +144,7 @@ def encode_documents(docs: DataFrame, vocabulary_file: str = "word_bpe_49k.json"
     path = vocabulary_path(vocabulary_file)
 
     def encode(batches):
+        let_go(codec)
         own = codec(path)
         for batch in batches:
             ids = [own.encode(t) for t in batch.column(1).to_pylist()]
@@ -162,6 +161,7 @@ def decode_ids(encoded: DataFrame, vocabulary_file: str = "word_bpe_49k.json") -
     path = vocabulary_path(vocabulary_file)
 
     def decode(batches):
+        let_go(codec)
         own = codec(path)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.decode(x or []) for x in batch.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
@@ -178,10 +178,11 @@ def encoded_digests(docs: DataFrame, vocabulary_file: str = "word_bpe_49k.json",
     path = vocabulary_path(vocabulary_file)
 
     def digest(batches):
+        let_go(codec)
         own = codec(path)
         for batch in batches:
             counts, ids, decoded = [], [], []
-            for n, a, b in own.all_encoded(batch.column(1).to_pylist()):
+            for n, a, b in own.all_encoded(each(batch.column(1))):
                 counts.append(n)
                 ids.append(sha256(a.encode()).hexdigest())
                 decoded.append(sha256(b.encode()).hexdigest())

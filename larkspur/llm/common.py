@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
+from functools import lru_cache
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
@@ -126,6 +128,35 @@ class Files:
             return np.frombuffer(f.read(), dtype)
 
 
+_KEPT: list = []
+
+
+def worker_cache(maxsize: int):
+    """An ``lru_cache`` for what a worker process keeps from task to task, which ``let_go`` can empty."""
+
+    def wrap(function):
+        cached = lru_cache(maxsize=maxsize)(function)
+        _KEPT.append(cached)
+        return cached
+
+    return wrap
+
+
+def let_go(*but) -> None:
+    """Called where a task begins: the process drops what other operators kept for their tasks, all caches but
+    those named.  Spark's workers live on from stage to stage, and would hold the tables of all operators."""
+    old = [cached for cached in _KEPT if cached not in but and cached.cache_info().currsize]
+    for cached in old:
+        cached.cache_clear()
+    if old:
+        gc.collect()  # memo tables call methods of the object that holds them
+
+
+def each(column):
+    """The values of an Arrow array one at a time, so that no second copy of a whole batch of texts is held."""
+    return (x.as_py() for x in column)
+
+
 class Memo(dict):
     """A bounded memo table of a pure function: at ``cap`` entries the table becomes the old
     generation, and entries that are still asked for move up again.  Keys of more than ``LONGEST``

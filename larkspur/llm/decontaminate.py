@@ -11,13 +11,12 @@ from __future__ import annotations
 
 import json
 import re
-from functools import lru_cache
 from hashlib import sha256
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Files, new_path, table
+from .common import Files, let_go, new_path, table, worker_cache
 
 _TO_WORDS = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b > 0x7F else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
@@ -145,7 +144,7 @@ class Automaton:
         return spans, found.union(*(items[s] for s in states))
 
 
-@lru_cache(maxsize=KEPT)
+@worker_cache(maxsize=KEPT)
 def _automaton(root: str, k: int, window: int) -> Automaton:
     with Files(root).open(f"{k}.json") as f:
         return Automaton([tuple(item) for item in json.loads(f.read())], window)
@@ -192,6 +191,7 @@ def _matched(docs: DataFrame, items: DataFrame, window: int, finish, schema: str
     root, count = _write_blocks(items, item_id, item_text, block_words)
 
     def run(batches):
+        let_go(_automaton)
         for held in _buffered(batches, BUFFER if count > KEPT else 0):
             rows = [[(text, 0, [], set()) for text in batch.column(width - 1).to_pylist()] for batch in held]
             for k in range(max(count, 1)):

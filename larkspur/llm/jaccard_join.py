@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, free_name, table
+from .common import Scratch, each, free_name, let_go, table
 from .components import components
 
 TILE, BLOCK, BLOCK_BYTES = 16, 2048, 1 << 25
@@ -90,6 +90,7 @@ def _frequent(rows: DataFrame, k: int):
         return h, np.bincount(at, c, len(h)).astype(np.int64)
 
     def count(batches):
+        let_go()
         held, size = [], 0
 
         def close():
@@ -98,7 +99,7 @@ def _frequent(rows: DataFrame, k: int):
             return pa.RecordBatch.from_arrays([pa.array(h[some].view(np.int64)), pa.array(c[some])], ["h", "c"])
 
         for batch in batches:
-            sets = [shingles(t, k) for t in batch.column(0).to_pylist()]
+            sets = [shingles(t, k) for t in each(batch.column(0))]
             if sets:
                 h, c = np.unique(np.concatenate(sets), return_counts=True)
                 held.append((h[c > 1], c[c > 1]))
@@ -126,10 +127,11 @@ def _signatures(rows: DataFrame, k: int, percent: int) -> DataFrame:
     frequent = rows.sparkSession.sparkContext.broadcast(_frequent(rows, k))
 
     def sign(batches):
+        let_go()
         often, counts = frequent.value
         for batch in batches:
             out = []
-            for text in batch.column(2).to_pylist():
+            for text in each(batch.column(2)):
                 s = shingles(text, k)
                 n = len(s)
                 if not n:
@@ -180,6 +182,7 @@ def _tiles(sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a), pa.nulls(len(a), pa.int64()), pa.array(b)], names)
 
     def run(batches):
+        let_go()
         held, large = [np.zeros(0, np.int64)] * 3, None
         for batch in batches:
             rows = [batch.column(i).to_numpy() for i in range(3)]
@@ -217,6 +220,7 @@ def _bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     import pyarrow as pa
 
     def test(batches):
+        let_go()
         for batch in batches:
             a, b, na, nb, x, y = (batch.column(i).to_pylist() for i in range(6))
             keep = [(100 + percent) * overlap_bound(na[i], x[i], nb[i], y[i]) >= percent * (na[i] + nb[i]) for i in range(len(a))]
@@ -234,9 +238,10 @@ def _linked(pairs: DataFrame, places: DataFrame, rows: DataFrame, k: int, percen
     import pyarrow as pa
 
     def intersect(batches):
+        let_go()
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for x, y in zip(each(batch.column(2)), each(batch.column(3)), strict=True):
                 s, t = shingles(x, k), shingles(y, k)
                 both = len(np.intersect1d(s, t, assume_unique=True))
                 keep.append(100 * both >= percent * (len(s) + len(t) - both))

@@ -7,14 +7,13 @@ initial symbols minus merges: no identifiers are looked up or emitted.
 
 from __future__ import annotations
 
-from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import Vocabulary, distinct_units, is_loose, loose_units, text_chunks, units, vocabulary, vocabulary_path
-from .common import Memo, table
+from .common import Memo, let_go, table, worker_cache
 
 
 def merged_count(symbols: list[str], ranks: dict[tuple[str, str], int]) -> int:
@@ -77,7 +76,7 @@ class TokenCounter:
         return np.concatenate(out)
 
 
-@lru_cache(maxsize=2)
+@worker_cache(maxsize=2)
 def counter(path: str) -> TokenCounter:
     """One counter for each worker process: its memo tables, which are bounded, serve all tasks of the worker."""
     return TokenCounter(vocabulary(path))
@@ -94,6 +93,7 @@ def token_counts(docs: DataFrame, vocabulary_file: str = "byte_bpe_50k.json", li
     path = vocabulary_path(vocabulary_file)
 
     def count(batches):
+        let_go(counter)
         own = counter(path)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own.counts(batch.column(2)), pa.int64())], ["doc_id", "n_bytes", "n_tokens"])

@@ -9,13 +9,12 @@ counts of the parts before it, kept with the part's name in the manifest.
 from __future__ import annotations
 
 import json
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import LETTERS, MARKS, byte_letters, distinct_units, library_tokenizer, text_chunks, vocabulary, vocabulary_path
-from .common import Files, new_path, table
+from .common import Files, let_go, new_path, table, worker_cache
 
 
 #: Units of letters, then marks; once more after one newline.  Anything else is encoded as it is.
@@ -114,7 +113,7 @@ def _gathered(pool, size, codes):
     return pool[at]
 
 
-@lru_cache(maxsize=2)
+@worker_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
 
@@ -137,6 +136,7 @@ def write_token_files(docs: DataFrame, out: str, vocabulary_file: str = "byte_bp
     dtype = encoder(path).dtype.str
 
     def write(batches):
+        let_go(encoder)
         own, files = encoder(path), Files(out)
         name = f"part-{TaskContext.get().partitionId():06d}"
         sizes, ids = [np.zeros(1, "<i8")], [pa.array([], pa.int64())]

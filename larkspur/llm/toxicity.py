@@ -19,7 +19,7 @@ from zlib import crc32
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, materialise, table
+from .common import Memo, each, let_go, materialise, table
 from .decontaminate import words
 
 #: Lengths in bytes of the word beginnings that are features besides whole words.
@@ -132,10 +132,11 @@ class Model:
         at = names.index(text_col)
 
         def run(batches):
+            let_go()
             memo = Memo(lambda word: tuple(f for f in word_features(word) if f in weights), 150_000)
             for batch in batches:
                 scores = []
-                for text in batch.column(at).to_pylist():
+                for text in each(batch.column(at)):
                     found = {f for fs in map(memo.__getitem__, text_words(text)) if fs for f in fs}
                     odds = bias + math.fsum(weights[f] for f in found)
                     scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, odds)))))
@@ -165,6 +166,7 @@ def lexicon_of(rows: DataFrame) -> Lexicon:
     names = ["f", "n", "bad", "kin"]
 
     def count(batches):
+        let_go()
         total, bad, kin = Counter(), Counter(), {}
 
         def known(word):
@@ -181,7 +183,7 @@ def lexicon_of(rows: DataFrame) -> Lexicon:
 
         memo, seen, toxic = Memo(known, 50_000), 0, 0
         for batch in batches:
-            for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for y, text in zip(batch.column(0).to_pylist(), each(batch.column(1)), strict=True):
                 found = {f for fs in map(memo.__getitem__, text_words(text)) for f in fs}
                 total.update(found)
                 if y:
@@ -286,9 +288,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     own = frozenset(lexicon.found.tolist())
 
     def features(batches):
+        let_go()
         memo = Memo(lambda word: tuple(f for f in word_features(word) if f in own), 50_000)
         for batch in batches:
-            out = [np.asarray(sorted({f for fs in map(memo.__getitem__, text_words(t)) for f in fs}), np.uint32).view(np.int32) for t in batch.column(2).to_pylist()]
+            out = [np.asarray(sorted({f for fs in map(memo.__getitem__, text_words(t)) for f in fs}), np.uint32).view(np.int32) for t in each(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int32()))], ["id", "y", "features"])
 
     kind = rows.schema["id"].dataType.simpleString()
