@@ -3,11 +3,14 @@
 import tracemalloc
 import weakref
 
+import numpy as np
+import psutil
 import pyarrow as pa
 from pyspark.sql import types as T
 
 from larkspur.llm.bpe import vocabulary, vocabulary_path
 from larkspur.llm.bpe_codec import Codec, codec
+from larkspur.llm.common import let_go
 from larkspur.llm.toxicity import Model
 
 
@@ -33,3 +36,13 @@ def test_a_worker_lets_go_of_what_other_operators_kept():
     score = Model({}, 0.0).score(Rows())
     assert [b.column(1).to_pylist() for b in score([pa.record_batch([pa.array(["a", None])], ["text"])])] == [[0.5, 0.5]]
     assert not codec.cache_info().currsize and kept() is None
+
+
+def test_freed_memory_goes_back_to_the_system():
+    """What large batches of one stage took and freed is not held through the next ones."""
+    held = lambda: psutil.Process().memory_info().rss >> 20
+    blocks = [np.ones(12_000) for _ in range(2_500)]  # too small to be mapped one by one
+    last, before = blocks[-1], held()
+    del blocks
+    let_go()
+    assert before - held() > 150 and last.sum() == 12_000
